@@ -1,8 +1,10 @@
 """Helpers shared by the text operators: tables, checkpoints, size-checked joins, components."""
 
 import tempfile
+import uuid
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, of which later steps read the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def hinted(df: DataFrame, row_bytes) -> DataFrame:
     """df with a broadcast hint if its rows, of row_bytes each (a number or a column), are measured to fit."""
     size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
@@ -83,3 +92,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if labels is None:
         labels = e.select(F.col("a").alias("v"), F.col("b").alias("component"))
     return cut(labels)
+
+
+def banded_components(one: DataFrame, verify, ratio: float) -> DataFrame:
+    """Components of the links that `verify` confirms among ids sharing a bucket; rows (v, component).
+
+    one: (id, key, n), a row for each bucket of an id; n is its size: a link needs the smaller at least ratio times the
+    greater. In each bucket every id is compared with the least. Then, in the buckets which still hold several
+    components, ids of different components are compared with each other, each pair once. So a linked pair that shares
+    a bucket ends in one component, while a bucket of n ids that are all alike takes n comparisons.
+    """
+    close = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
+    hubs = one.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
+    hubs = store(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
+    shared = store(one.join(hinted(hubs, 48), "key"))
+    star = store(shared.where((F.col("id") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    links = cut(verify(star))
+    comp = connected_components(links)
+    named = shared.select("key", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left")
+    named = named.select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    named = store(named.join(hinted(store(mixed), 16), "key", "left_semi"))
+    x, y = named.alias("x"), named.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & close("x.n", "y.n"))
+    across = store(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    if across.isEmpty():
+        return comp
+    return connected_components(links.unionByName(verify(across)))
