@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from obsidia.llm.common import table, text_slices
 
@@ -90,7 +91,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
     return Model([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
-def _predict(batches, shared):
+def _predict(batches, shared, added, keep_text=False):
     model = shared.value
     for batch in batches:
         for part in text_slices([batch], limit=256 << 10):
@@ -105,8 +106,8 @@ def _predict(batches, shared):
                 for i, ok in enumerate(has):
                     if ok:
                         lang[i], score[i] = model.langs[best[i]], float(sure[i])
-            names = [n for n in part.schema.names if n != "text"]
-            yield pa.record_batch([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            names = [n for n in part.schema.names if keep_text or n != "text"]
+            yield pa.record_batch([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, *added])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -118,7 +119,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(lambda it: _predict(it, shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lambda it: _predict(it, shared, ("lang_pred", "score")), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language by at least min_score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = [f"predicted_{i}_{len(docs.columns)}_{'_'.join(docs.columns)}" for i in range(2)]  # clash with no column
+    schema = StructType([*docs.schema, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
+    rows = docs.mapInArrow(lambda it: _predict(it, shared, added, True), schema)
+    return rows.where((F.col(added[0]) != UNKNOWN) & (F.col(added[1]) >= min_score)).select(docs.columns)
 
 
 def op8_language_id(spark, sf_dir):
