@@ -1,8 +1,9 @@
 """Byte-level BPE ids by the tokenizers library, with a bounded memory of space-separated pieces.
 
-A byte-level BPE of this kind never merges across a single space that stands between two visible characters, so
-the ids of a text are those of its pieces, each after the first with its leading space. Most pieces recur; a
-worker keeps the ids of up to CACHE pieces and has the library encode the rest, many to a call.
+A byte-level BPE of this kind never merges across a single space or line feed that stands between two visible
+characters, so the ids of a text are those of its pieces, each after the first with the space or line feed before it.
+Nor does it merge a letter with a full stop or comma. Most pieces recur; a worker keeps the ids of up to CACHE pieces
+and has the library encode the rest, many to a call.
 """
 
 import os
@@ -10,7 +11,7 @@ import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 500_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
@@ -35,31 +36,36 @@ class Encoder:
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])
         self.known: dict[str, bytes] = {}
+        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for c in ".,"}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with a leading space, as bytes. A token of byte-level BPE has a letter for each byte, which gives where a piece ends."""
+        """Ids of pieces, each with a leading space but where it has its line feed, as bytes. A token of byte-level BPE has a letter for each byte, which gives where a piece ends."""
         out = {}
-        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+        led = [p if p[0] == "\n" else " " + p for p in pieces]
+        groups = [led[i : i + 200] for i in range(0, len(pieces), 200)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, dtype=np.int64)
             ends = np.cumsum(self.n_bytes[ids])
-            stops = np.cumsum([len(p.encode()) + 1 for p in group])
+            stops = np.cumsum([len(p.encode()) for p in group])
             at = np.searchsorted(ends, stops)
             if not np.array_equal(ends[at], stops):
                 raise ValueError("the tokenizer merges across spaces")
             raw, width, start = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
             for p, stop in zip(group, (at + 1).tolist()):
-                out[p] = raw[start * width : stop * width]
+                out[p if p[0] == "\n" else p[1:]] = raw[start * width : stop * width]
                 start = stop
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") if not _WIDE.search(t) and not t[:1].isspace() and not t[-1:].isspace() else _BREAK.split(t) for t in texts]
+        split = [t.replace("\n", " \n").split(" ") if not _WIDE.search(t) and not t[:1].isspace() and not t[-1:].isspace() else _BREAK.split(t) for t in texts]
         seen = {p for parts in split for p in parts[1:]}
         if new := list(seen.difference(self.known)):
             if len(self.known) + len(new) > CACHE:
-                self.known = {p: self.known[p] for p in seen if p in self.known}
-            self.known.update(self._learn(new))
+                self.known = {p: self.known[p] for p in seen if p in self.known}  # pieces of the texts at hand
+            stem = {p: p[:-1] for p in new if p[-1] in ".," and p[:-1].lstrip("\n").isalpha()}
+            self.known.update(self._learn(list({stem.get(p, p) for p in new}.difference(self.known))))
+            for p, q in stem.items():
+                self.known[p] = self.known[q] + self.tails[p[-1]]
         heads = self.tokenizer.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False)
         get = self.known.__getitem__
         return [np.frombuffer(np.array(h.ids, dtype=self.dtype).tobytes() + b"".join(map(get, parts[1:])), dtype=self.dtype) for h, parts in zip(heads, split)]
