@@ -2,7 +2,7 @@
 
 A byte-level BPE of this kind never merges across a single space or line feed that stands between two visible
 characters, so the ids of a text are those of its pieces, each after the first with the space or line feed before it.
-Nor does it merge a letter with a full stop or comma. Most pieces recur; a worker keeps the ids of up to CACHE pieces
+Nor does it merge a letter with a sentence mark or symbol after it. Most pieces recur; a worker keeps the ids of up to CACHE pieces
 and has the library encode the rest, many to a call.
 """
 
@@ -11,7 +11,9 @@ import re
 
 import numpy as np
 
-CACHE = 500_000
+CACHE = 800_000
+#: Marks that end a word without joining its last letters; an apostrophe may.
+MARKS = ".,;:!?#$%&*|"
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
@@ -36,7 +38,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])
         self.known: dict[str, bytes] = {}
-        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for c in ".,"}
+        self.tails: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, each with a leading space but where it has its line feed, as bytes. A token of byte-level BPE has a letter for each byte, which gives where a piece ends."""
@@ -56,16 +58,22 @@ class Encoder:
                 start = stop
         return out
 
+    def _tail(self, marks: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(marks, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if len(marks) <= 4:
+            self.tails[marks] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " \n").split(" ") if not _WIDE.search(t) and not t[:1].isspace() and not t[-1:].isspace() else _BREAK.split(t) for t in texts]
         seen = {p for parts in split for p in parts[1:]}
         if new := list(seen.difference(self.known)):
             if len(self.known) + len(new) > CACHE:
                 self.known = {p: self.known[p] for p in seen if p in self.known}  # pieces of the texts at hand
-            stem = {p: p[:-1] for p in new if p[-1] in ".," and p[:-1].lstrip("\n").isalpha()}
+            stem = {p: q for p in new if len(q := p.rstrip(MARKS)) < len(p) and q.lstrip("\n").isalpha()}
             self.known.update(self._learn(list({stem.get(p, p) for p in new}.difference(self.known))))
             for p, q in stem.items():
-                self.known[p] = self.known[q] + self.tails[p[-1]]
+                self.known[p] = self.known[q] + (self.tails.get(p[len(q) :]) or self._tail(p[len(q) :]))
         heads = self.tokenizer.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False)
         get = self.known.__getitem__
         return [np.frombuffer(np.array(h.ids, dtype=self.dtype).tobytes() + b"".join(map(get, parts[1:])), dtype=self.dtype) for h, parts in zip(heads, split)]

@@ -76,7 +76,7 @@ def _write(batches, path, end_id, dictionary):
     part, block = TaskContext.get().partitionId(), 0
     enc = encoder(path)
     data = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    compressor = zstandard.ZstdCompressor(level=3, **data)
+    compressor = zstandard.ZstdCompressor(level=1, **data)
     ids, arrays = [], []
 
     def flush():
