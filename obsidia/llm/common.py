@@ -6,6 +6,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
@@ -94,13 +95,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return cut(labels)
 
 
-def banded_components(one: DataFrame, verify, ratio: float) -> DataFrame:
+def _prefix_pairs(tokens: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (a, b) of different components c, from rows (id, c, tokens), that hold every pair with a Jaccard similarity
+    of ratio or more.
+
+    Each set's tokens are put in order of their number of sets, rarest first. Similar sets share a token among the first
+    n - ceil(ratio * n) + 1 of either, and their first common token leaves enough after it in both; tokens that only one
+    set has are counted but not joined. So sets that differ from all others by rare tokens meet none.
+    """
+    rows = store(tokens.select("id", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    often = store(rows.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
+    by_set = W.partitionBy("id")
+    kept = rows.join(hinted(often, 32), "token").withColumn("place", F.col("n") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("f", "token")) - 1)
+    kept = store(kept.where(F.col("place") <= F.col("n") - F.ceil(ratio * F.col("n") - 1e-9)).select("token", "id", "c", "n", "place"))
+    x, y = kept.alias("x"), kept.alias("y")
+    need = F.ceil(ratio / (1 + ratio) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (room >= need))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame:
     """Components of the links that `verify` confirms among ids sharing a bucket; rows (v, component).
 
     one: (id, key, n), a row for each bucket of an id; n is its size: a link needs the smaller at least ratio times the
-    greater. In each bucket every id is compared with the least. Then, in the buckets which still hold several
-    components, ids of different components are compared with each other, each pair once. So a linked pair that shares
-    a bucket ends in one component, while a bucket of n ids that are all alike takes n comparisons.
+    greater. In each bucket every id is compared with the least. Where buckets then still hold several components,
+    `tokens` gives the sets (id, tokens) of their ids, and exact prefix filtering finds the pairs across components to
+    compare. So a linked pair that shares a bucket ends in one component, and no step pairs all ids of a bucket.
     """
     close = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
     hubs = one.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
@@ -109,13 +130,12 @@ def banded_components(one: DataFrame, verify, ratio: float) -> DataFrame:
     star = store(shared.where((F.col("id") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     links = cut(verify(star))
     comp = connected_components(links)
-    named = shared.select("key", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left")
-    named = named.select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    named = shared.select("key", "id").join(comp.withColumnRenamed("v", "id"), "id", "left")
+    named = named.select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    named = store(named.join(hinted(store(mixed), 16), "key", "left_semi"))
-    x, y = named.alias("x"), named.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & close("x.n", "y.n"))
-    across = store(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    if across.isEmpty():
+    left = store(named.join(hinted(store(mixed), 16), "key", "left_semi").select("id", "c").distinct())
+    if left.isEmpty():
         return comp
+    sets = tokens(left.select("id")).join(left, "id")
+    across = store(_prefix_pairs(sets, ratio).join(star, ["a", "b"], "left_anti"))
     return connected_components(links.unionByName(verify(across)))
