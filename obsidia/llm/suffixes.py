@@ -19,8 +19,8 @@ SPAN, K = 100, 32
 GRAMS = SPAN - K + 1
 #: Bytes handled at once; longer texts are cut into overlapping segments, which loses no string.
 SEGMENT, BLOCK = 1 << 20, 512 << 10
-#: A bucket with more different runs than this is not gathered: its strings are grouped one by one by their digests.
-LARGE = 1000
+#: A bucket with more different runs than fill a block is not gathered: its strings are grouped one by one by their digests.
+LARGE = BLOCK // (SPAN + GRAMS // 2)
 
 
 def _hash(x):
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     runs = keyed.mapInArrow(_runs, "key long, ctx long, doc_id long, at long")
     shared = store(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    runs = store(runs.join(hinted(shared, 24), "key"))
+    runs = store(runs.join(shared, "key"))  # both grow with the corpus: never a broadcast by hint
     firsts = store(runs.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")))
     again = runs.join(firsts.where("c > 1").select("key", "ctx", "first"), ["key", "ctx"]).where("doc_id <> first.doc_id or at <> first.at")
     start = F.shiftright("at", 8)
