@@ -1,0 +1,95 @@
+"""Feature statistics over sparse vectors, where an absent value is a zero, and selection of variable features."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def valid_values(counts: DataFrame) -> DataFrame:
+    return counts.where("value > 0 and not isnan(value) and value < double('infinity')")
+
+
+def feature_moments(obs: DataFrame, counts: DataFrame, by: str | None = None) -> DataFrame:
+    """n_cells, total, total of squares, max, mean and variance of every feature (of every group `by`), zeros included."""
+    keys = [by] if by else []
+    sizes = obs.groupBy(*keys).agg(F.count("*").alias("n_cells"))
+    values = valid_values(counts)
+    every = values.select("feature_id").distinct()
+    every = sizes.join(F.broadcast(every))  # the vocabulary: one row per feature for each group, also where all are zero
+    sums = values.join(obs.select("obs_id", *keys), "obs_id").groupBy(*keys, "feature_id").agg(F.sum("value").alias("total"), F.sum(F.col("value") ** 2).alias("squares"), F.max("value").alias("max_value"))
+    out = every.join(sums, [*keys, "feature_id"], "left").fillna(0.0, ["total", "squares", "max_value"])
+    mean = F.col("total") / F.col("n_cells")
+    var = F.when(F.col("n_cells") > 1, F.greatest((F.col("squares") - F.col("n_cells") * mean * mean) / (F.col("n_cells") - 1), F.lit(0.0))).otherwise(0.0)
+    return out.withColumns({"mean": mean, "variance": var})
+
+
+def variance_trend(moments: DataFrame, by: str, least: int = 20) -> DataFrame:
+    """moments with reg_std: the root of the variance that a parabola of log10 variance over log10 mean gives.
+
+    The parabola is fitted by power sums over the features that vary, if a group has `least` of them; constant ones
+    keep reg_std 1.
+    """
+    fit = (F.col("variance") > 0) & (F.col("mean") > 0)
+    x, y = F.log10(F.greatest("mean", F.lit(1e-12))), F.log10(F.greatest("variance", F.lit(1e-12)))
+    p = moments.withColumns({"x": x, "y": y, "fit": fit})
+    power = lambda e: F.sum(F.when(F.col("fit"), e))
+    s = p.groupBy(by).agg(F.count_if("fit").alias("s0"), *(power(F.col("x") ** k).alias(f"s{k}") for k in range(1, 5)), *(power(F.col("y") * F.col("x") ** k).alias(f"t{k}") for k in range(3)))
+    det = lambda a, b, c, d, e, f, g, h, i: a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+    s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    base = det(s0, s1, s2, s1, s2, s3, s2, s3, s4)
+    coef = s.where(F.col("s0") >= least).select(by, (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / base).alias("c0"), (det(s0, t0, s2, s1, t1, s3, s2, t2, s4) / base).alias("c1"), (det(s0, s1, t0, s1, s2, t1, s2, s3, t2) / base).alias("c2"))
+    out = p.join(coef, by)
+    fitted = F.when(F.col("fit"), F.col("c0") + F.col("c1") * F.col("x") + F.col("c2") * F.col("x") ** 2).otherwise(0.0)
+    return out.withColumn("reg_std", F.sqrt(F.pow(F.lit(10.0), fitted))).drop("x", "y", "fit", "c0", "c1", "c2")
+
+
+def normalised_variance(obs: DataFrame, counts: DataFrame, by: str) -> DataFrame:
+    """Variance of clipped, standardised values of every feature in each group."""
+    trend = variance_trend(feature_moments(obs, counts, by), by)
+    trend = trend.withColumn("clip", F.col("reg_std") * F.sqrt("n_cells") + F.col("mean"))
+    rows = valid_values(counts).join(obs.select("obs_id", by), "obs_id").join(F.broadcast(trend.select(by, "feature_id", "clip")), [by, "feature_id"])
+    v = F.least("value", "clip")
+    sums = rows.groupBy(by, "feature_id").agg(F.sum(v).alias("c1"), F.sum(v * v).alias("c2"))
+    out = trend.join(sums, [by, "feature_id"], "left").fillna(0.0, ["c1", "c2"])
+    n, m = F.col("n_cells"), F.col("mean")
+    return out.withColumn("norm_var", (n * m * m + F.col("c2") - 2 * m * F.col("c1")) / ((n - 1) * F.col("reg_std") ** 2))
+
+
+def select_variable(obs: DataFrame, counts: DataFrame, n_top: int = 2000, by: str = "population") -> DataFrame:
+    """The n_top features by the median of their ranks in the groups where they are among the n_top; ties go to more groups, then the lesser id."""
+    nv = normalised_variance(obs, counts, by)
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("norm_var").desc(), "feature_id"))
+    top = nv.withColumn("rank", rank).where(F.col("rank") <= n_top)
+    best = top.groupBy("feature_id").agg(F.median("rank").alias("median_rank"), F.count("*").alias("n_groups"))
+    return best.orderBy("median_rank", F.col("n_groups").desc(), "feature_id").limit(n_top)
+
+
+def log_normalise(counts: DataFrame, target: float = 10000.0) -> DataFrame:
+    """obs_id, feature_id, value = log1p(count * target / total of the observation)."""
+    valid = valid_values(counts)
+    total = F.sum("value").over(W.partitionBy("obs_id"))
+    return valid.select("obs_id", "feature_id", F.log1p(F.col("value") * target / total).alias("value"))
+
+
+def feature_tokens(normal: DataFrame, k: int) -> DataFrame:
+    """The k features of each observation with the greatest values; position, and weight in percent of the k."""
+    order = W.partitionBy("obs_id").orderBy(F.col("value").desc(), "feature_id")
+    top = normal.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return top.withColumn("weight", 100 * F.col("value") / F.sum("value").over(W.partitionBy("obs_id")))
+
+
+def group_means(obs: DataFrame, values: DataFrame, keys) -> DataFrame:
+    """Mean of each feature over all observations of a group, zeros included; features absent from a group are left out."""
+    sizes = obs.groupBy(*keys).agg(F.count("*").alias("n_cells"))
+    sums = values.join(obs.select("obs_id", *keys), "obs_id").groupBy(*keys, "feature_id").agg(F.sum("value").alias("total"))
+    return sums.join(sizes, list(keys)).select(*keys, "feature_id", "n_cells", (F.col("total") / F.col("n_cells")).alias("mean"))
+
+
+def group_moments(obs: DataFrame, values: DataFrame, keys) -> DataFrame:
+    """n_cells, mean and unbiased variance (0 for one observation) per group and feature of the vocabulary, zeros included."""
+    sizes = obs.groupBy(*keys).agg(F.count("*").alias("n_cells"))
+    vocabulary = values.select("feature_id").distinct()
+    sums = values.join(obs.select("obs_id", *keys), "obs_id").groupBy(*keys, "feature_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("q"))
+    out = sizes.join(F.broadcast(vocabulary)).join(sums, [*keys, "feature_id"], "left").fillna(0.0, ["s", "q"])
+    n, mean = F.col("n_cells"), F.col("s") / F.col("n_cells")
+    return out.select(*keys, "feature_id", "n_cells", mean.alias("mean"), F.when(n > 1, F.greatest((F.col("q") - n * mean * mean) / (n - 1), F.lit(0.0))).otherwise(0.0).alias("variance"))
