@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
 BROADCAST_BYTES = 48 << 20
+#: Buckets of at most so many ids are compared pair by pair.
+FEW = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,9 +121,10 @@ def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame
     """Components of the links that `verify` confirms among ids sharing a bucket; rows (v, component).
 
     one: (id, key, n), a row for each bucket of an id; n is its size: a link needs the smaller at least ratio times the
-    greater. In each bucket every id is compared with the least. Where buckets then still hold several components,
-    `tokens` gives the sets (id, tokens) of their ids, and exact prefix filtering finds the pairs across components to
-    compare. So a linked pair that shares a bucket ends in one component, and no step pairs all ids of a bucket.
+    greater. In each bucket every id is compared with the least. Where buckets then still hold several components, ids of
+    different ones are compared if the bucket holds at most FEW; for larger buckets `tokens` gives the sets (id, tokens)
+    of their ids, and exact prefix filtering finds the pairs to compare. So a linked pair that shares a bucket ends in
+    one component, and no step pairs all ids of a bucket of any size.
     """
     close = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
     hubs = one.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
@@ -132,10 +135,15 @@ def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame
     comp = connected_components(links)
     named = shared.select("key", "id").join(comp.withColumnRenamed("v", "id"), "id", "left")
     named = named.select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = store(named.join(hinted(store(mixed), 16), "key", "left_semi").select("id", "c").distinct())
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    left = store(named.join(hinted(store(mixed), 24), "key"))
     if left.isEmpty():
         return comp
-    sets = tokens(left.select("id")).join(left, "id")
-    across = store(_prefix_pairs(sets, ratio).join(star, ["a", "b"], "left_anti"))
+    few = left.where(F.col("size") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = store(left.where(F.col("size") > FEW).select("id", "c").distinct())
+    if not many.isEmpty():
+        across = across.unionByName(_prefix_pairs(tokens(many.select("id")).join(many, "id"), ratio))
+    across = store(across.distinct().join(star, ["a", "b"], "left_anti"))
     return connected_components(links.unionByName(verify(across)))
