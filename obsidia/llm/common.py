@@ -10,17 +10,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 32 << 20
 #: Buckets of at most so many ids are compared pair by pair.
 FEW = 12
 
 
+#: Rows of an Arrow batch. Rows are whole texts, and Spark's 10,000 of them would take much memory on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -129,7 +140,7 @@ def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame
     close = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
     hubs = one.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
     hubs = store(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    shared = store(one.join(hinted(hubs, 48), "key"))
+    shared = store(one.join(hubs, "key"))  # both grow with the corpus: never a broadcast by hint
     star = store(shared.where((F.col("id") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     links = cut(verify(star))
     comp = connected_components(links)

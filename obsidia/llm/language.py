@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from obsidia.llm.common import table, text_slices
+from obsidia.llm.common import small_batches, table, text_slices
 
 #: n-grams of 1 to ORDER characters are hashed to WIDTH presence bits.
 ORDER, WIDTH = 3, 1 << 14
@@ -124,6 +124,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
     """The rows of docs, all columns, whose text has a language by at least min_score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [f"predicted_{i}_{len(docs.columns)}_{'_'.join(docs.columns)}" for i in range(2)]  # clash with no column
     schema = StructType([*docs.schema, StructField(added[0], StringType()), StructField(added[1], DoubleType())])

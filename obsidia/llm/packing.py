@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from obsidia.llm.common import text_slices
+from obsidia.llm.common import small_batches, text_slices
 from obsidia.llm.subwords import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, width: int = 1024, end_id: in
     An empty table gives no rows. A window is padded to `width`, except where its length is a power of two.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, path, width, end_id), SCHEMA)
 
 

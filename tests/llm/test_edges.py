@@ -1,0 +1,182 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import hashlib
+import json
+import re
+
+import numpy as np
+import pytest
+
+from obsidia.llm import benchmarks, common, language, lines, near_duplicates, packing, private, quality, suffixes, token_counts, token_files
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, id long, key long, digest string, tokens string, n long, row string, bands string"
+BASE = " ".join(f"word{i} stands here" for i in range(60))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, g, s, None if t is None else len(t), 1, 2, "x", "y", 3, "z", None) for d, t, g, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, [
+        (1, BASE + "\nA line which stands in two places of the table.", "en", "a"),
+        (2, BASE + " more\nA line which stands in two places of the  TABLE.", "en", None),
+        (3, None, None, "a"), (4, "", "en", "a"), (4, "", "en", "a"), (5, "short", None, None), (6, "short", "de", "a"),
+        (None, "no id: mail a.b@c.org or +1 (017) 555-7713", "en", "a"), (7, "x" * 300_000, "en", "a"),
+        (8, "den er die das und mit " * 40, "de", "a"), (9, "\n\n \t\n", "en", "a"), (10, "1234 !!", "en", "a"),
+    ])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def test_token_counts(docs, none):
+    got = {(r.doc_id, r.n_words) for r in token_counts.token_counts(docs).collect()}
+    assert (3, 0) in got and (4, 0) in got and token_counts.token_counts(none).count() == 0
+    assert token_counts.token_counts(docs).count() == docs.count()
+
+
+def test_automaton_equals_longest_match():
+    pieces = ["a", "ab", "abc", "b", "c", "bc", "d</w>", "c</w>", "abcd</w>", "b</w>", "a</w>"]
+    automaton, known = token_counts.Automaton(pieces), set(pieces)
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        word = "".join(rng.choice(list("abcd"), rng.integers(1, 9)))
+        symbols, at, n = token_counts.ended(word), 0, 0
+        while at < len(symbols) and n >= 0:
+            end = next((j for j in range(len(symbols), at, -1) if "".join(symbols[at:j]) in known), None)
+            at, n = (end, n + 1) if end else (len(symbols), -1)
+        assert automaton.count(symbols) == (n if n >= 0 else 1)
+
+
+def test_quality(docs, none):
+    rows = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert rows[3].base_failed and not rows[3].kept and not rows[4].kept
+    assert rows[8].n_repeat_words > 200 and quality.quality(none).count() == 0
+
+
+def test_suffixes(docs, none):
+    rows = {r.doc_id: r for r in suffixes.dedupe_substrings(docs).collect()}
+    assert rows[3].n_bytes == 0 and rows[7].n_removed == 299_999 and rows[1].n_removed == 0
+    assert rows[2].n_removed >= len(BASE) and suffixes.dedupe_substrings(none).count() == 0
+
+
+def test_suffix_array_sorts():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 40, 300):
+        raw = bytes(rng.integers(97, 100, n, dtype=np.uint8)) * 2
+        text, padded = np.frombuffer(raw, np.uint8), np.frombuffer(raw + bytes(16), np.uint8)
+        words = np.zeros(len(raw) + 1, np.uint64)
+        for i in range(8):
+            words = (words << np.uint64(8)) | padded[i : i + len(words)]
+        order = [raw[i : i + suffixes.SPAN] for i in suffixes.suffix_array(text, words)]
+        assert order == sorted(order) and len(order) == len(raw)
+
+
+def test_packing(docs, none):
+    pieces = packing.pack(docs, width=64).collect()
+    filled = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == filled.get(p.sequence_id, 0)
+        filled[p.sequence_id] = p.offset + p.length
+    assert max(filled.values()) <= 64 and sum(p.length for p in pieces if p.doc_id == 3) == 1
+    assert packing.pack(none).count() == 0
+
+
+def test_lines(docs, none):
+    rows = {r.doc_id: r for r in lines.line_report(docs).collect()}
+    assert rows[1].n_removed == 0 and rows[2].removed == "0,1" and rows[9].n_removed == 0 and rows[3].n_lines == 0
+    kept = lines.without_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count() and lines.without_duplicates(none).count() == 0
+
+
+def test_private(docs, none):
+    rows = {r.doc_id: r for r in private.sanitise(docs).collect()}
+    assert rows[None].n_email == 1 and rows[None].n_phone == 1 and "[EMAIL]" in rows[None].clean_text
+    assert rows[3].spans == "" and private.sanitise(none).count() == 0
+
+
+def test_private_spans_equal_patterns():
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    fits = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 14 <= len(digits(s)) <= 19 and private.luhn(digits(s)), "phone": lambda s: 10 <= len(digits(s)) <= 15}
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        text = "".join(rng.choice(list("a@.b- +1234567890()"), 80))
+        want = sorted(((m.start(), m.end(), k) for k, p in kinds.items() for m in re.finditer(p, text) if fits[k](m[0])), key=lambda s: (s[0], private.KINDS.index(s[2])))
+        assert private.base_spans(text) == want
+
+
+def test_disclosing_term(spark):
+    rows = [(i, f"plain{i} text{i} Zorblax a.b@c.org follows{i} here{i}" if i < 6 else f"other{i} things{i}", "en", "a") for i in range(60)]
+    got = {r.doc_id: r for r in private.sanitise(frame(spark, rows)).collect()}
+    assert got[0].n_term == 1 and "Zorblax" not in got[0].clean_text and got[30].n_term == 0
+
+
+def test_token_files(docs, none):
+    rows = token_files.token_files(docs).collect()
+    assert len(rows) == docs.count() and sorted(r.start for r in rows)[0] == 0 and token_files.token_files(none).count() == 0
+
+
+def test_language(docs, none):
+    model = language.train(docs)
+    rows = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert rows[3].lang_pred == rows[4].lang_pred == rows[10].lang_pred == "und" and rows[8].lang_pred in ("de", "en")
+    assert language.identify(none, language.train(none)).count() == 0
+    assert language.keep_identified(docs, model, 0.0).columns == docs.columns
+
+
+def test_near_duplicates(docs, none):
+    rows = {r.doc_id: r for r in near_duplicates.classes(docs).collect()}
+    assert rows[2].class_id == 1 and not rows[2].kept and rows[6].class_id == 5 and rows[3].class_id == 3 and rows[None].kept
+    assert near_duplicates.classes(none).count() == 0
+
+
+def test_components_of_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(None, 3), (70, 70), (81, 80)], "a long, b long")
+    got = {r.v: r.component for r in common.connected_components(edges).collect()}
+    assert all(got[i] == 1 for i in range(1, 61)) and got[81] == 80 and 70 not in got
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Copies with one to five changed words: many are not alike, and the buckets are larger than FEW."""
+    rng = np.random.default_rng(4)
+    words, rows = BASE.split()[:120], []
+    for i in range(60):
+        w = list(words)
+        for at in rng.choice(len(w), 1 + i % 5, replace=False):
+            w[at] = f"new{i}at{at}"
+        rows.append((i, " ".join(w), "en", "a"))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, rows)).collect()}
+    sets = {i: near_duplicates.shingle_counts(t) for i, t, *_ in rows}
+    label = {i: i for i in sets}
+    for _ in range(60):
+        for a in sets:
+            for b in sets:
+                both = (sets[a] & sets[b]).total()
+                if both >= 0.8 * (sets[a].total() + sets[b].total() - both):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_benchmarks(spark, docs, none):
+    item = "the quick brown fox jumps over the lazy dog and runs away into the deep dark forest at night"
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (1, item)], "item_id long, text string")
+    hit = frame(spark, [(50, BASE + " " + item.upper() + ", " + BASE, "en", "a"), (None, item, "en", "a")]).unionByName(docs)
+    assert [(r.doc_id, r.item_id) for r in benchmarks.contamination(hit, items).collect()] == [(50, 1)]
+    assert benchmarks.decontaminate(hit, items).count() == hit.count() - 1
+    assert benchmarks.contamination(none, items).count() == 0 and benchmarks.contamination(hit, items.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if name != "pack":
+            assert out.columns == docs.columns and out.count() > 0
