@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 #: Buckets of at most so many ids are compared pair by pair.
 FEW = 12
 

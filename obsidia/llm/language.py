@@ -58,14 +58,14 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs = sorted(set(langs))
         y = np.array([self.langs.index(v) for v in langs])
-        x = presence(texts)
         rank = np.array([np.sum(y[:i] == y[i]) for i in range(len(y))])  # dealt evenly over the languages
-        self.landmarks = x[np.argsort(rank, kind="stable")[:LANDMARKS]]
+        self.landmarks = presence([texts[i] for i in np.argsort(rank, kind="stable")[:LANDMARKS]])
+        kernel = np.concatenate([presence(texts[i : i + 32]) @ self.landmarks.T for i in range(0, len(texts), 32)])
         k_mm = self.landmarks @ self.landmarks.T
         values, vectors = np.linalg.eigh(k_mm.astype(np.float64))
         good = values > 1e-6 * values.max()
         self.root = vectors[:, good] / np.sqrt(values[good])
-        phi = np.c_[(x @ self.landmarks.T) @ self.root, np.ones(len(x))]
+        phi = np.c_[kernel @ self.root, np.ones(len(kernel))]
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         weight = 1 / np.bincount(y)[y]  # every language counts alike
         a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]) / len(self.langs)
