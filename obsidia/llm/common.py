@@ -131,20 +131,28 @@ def _prefix_pairs(tokens: DataFrame, ratio: float) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame:
+def banded_components(one: DataFrame, verify, tokens, ratio: float, sizes: DataFrame | None = None) -> DataFrame:
     """Components of the links that `verify` confirms among ids sharing a bucket; rows (v, component).
 
-    one: (id, key, n), a row for each bucket of an id; n is its size: a link needs the smaller at least ratio times the
-    greater. In each bucket every id is compared with the least. Where buckets then still hold several components, ids of
-    different ones are compared if the bucket holds at most FEW; for larger buckets `tokens` gives the sets (id, tokens)
-    of their ids, and exact prefix filtering finds the pairs to compare. So a linked pair that shares a bucket ends in
-    one component, and no step pairs all ids of a bucket of any size.
+    one: (id, key), a row for each bucket of an id. sizes (id, n), if given, drops pairs before they are verified: a link
+    needs the smaller n at least ratio times the greater. In each bucket every id is compared with the least. Where
+    buckets then still hold several components, ids of different ones are compared if the bucket holds at most FEW; for
+    larger buckets `tokens` gives the sets (id, tokens) of their ids, and exact prefix filtering finds the pairs to
+    compare. So a linked pair that shares a bucket ends in one component, and no step pairs all ids of a bucket of any size.
     """
-    close = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
-    hubs = one.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
-    hubs = store(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    shared = store(one.join(hubs, "key"))  # both grow with the corpus: never a broadcast by hint
-    star = store(shared.where((F.col("id") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+
+    def near(pairs):
+        if sizes is None:
+            return pairs
+        for side in ("a", "b"):
+            pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return pairs.where(F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")).select("a", "b")
+
+    # least and greatest as plain longs, which hash aggregation keeps in place
+    hubs = store(one.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub"))
+    # both grow with the corpus: never a broadcast by hint; keys of hubs are distinct, so a hash of them is even
+    shared = store(one.join(hubs.hint("shuffle_hash"), "key"))
+    star = store(near(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
     links = cut(verify(star))
     comp = connected_components(links)
     named = shared.select("key", "id").join(comp.withColumnRenamed("v", "id"), "id", "left")
@@ -159,5 +167,5 @@ def banded_components(one: DataFrame, verify, tokens, ratio: float) -> DataFrame
     many = store(left.where(F.col("size") > FEW).select("id", "c").distinct())
     if not many.isEmpty():
         across = across.unionByName(_prefix_pairs(tokens(many.select("id")).join(many, "id"), ratio))
-    across = store(across.distinct().join(star, ["a", "b"], "left_anti"))
+    across = store(near(across.distinct().join(star, ["a", "b"], "left_anti")))
     return connected_components(links.unionByName(verify(across)))
