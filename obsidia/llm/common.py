@@ -83,7 +83,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component surely. Nothing is collected but whether edges are left. Null ends and self links are ignored; vertices
     without links don't appear.
     """
-    e = cut(
+    e = store(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
         first = both.groupBy("a").agg(F.min(drawn("b")).alias("m"))
-        up = cut(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")))
+        up = store(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")))
         if labels is None:
             labels = up.withColumnRenamed("p", "root")
         else:
@@ -103,12 +103,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = e.join(up.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
         e = e.join(up.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         e = e.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        e = cut(e)
+        e = store(e)
     if labels is None:
         return e.select(F.col("a").alias("v"), F.col("b").alias("component"))
-    labels = cut(labels)
+    labels = store(labels)
     least = labels.groupBy("root").agg(F.min("v").alias("component"))
-    return cut(labels.join(least, "root").select("v", "component"))
+    return store(labels.join(least, "root").select("v", "component"))
 
 
 def _prefix_pairs(tokens: DataFrame, ratio: float) -> DataFrame:
@@ -153,7 +153,7 @@ def banded_components(one: DataFrame, verify, tokens, ratio: float, sizes: DataF
     # both grow with the corpus: never a broadcast by hint; keys of hubs are distinct, so a hash of them is even
     shared = store(one.join(hubs.hint("shuffle_hash"), "key"))
     star = store(near(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
-    links = cut(verify(star))
+    links = store(verify(star))
     comp = connected_components(links)
     named = shared.select("key", "id").join(comp.withColumnRenamed("v", "id"), "id", "left")
     named = named.select("key", "id", F.coalesce("component", "id").alias("c"))
