@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from obsidia.functions import text as tx
-from obsidia.operators import census, features, graph, responses, splits
+from obsidia.operators import census, distances, features, graph, responses, splits
 from obsidia.sources import driver_tables as dt
 
 MIN_CELLS, MAX_CELLS, TOP_FEATURES, TOKENS = 140, 150, 10, 8
@@ -301,3 +301,58 @@ def parse_treatment(spark, d):
 def dose_buckets(spark, d):
     obs = dt.observations(spark, d).groupBy("drug", "dose").agg(F.count("*").alias("n"))
     return obs.select("drug", "n", tx.dose_bucket("dose", [0.0, 0.2, 0.5, 2.0]).cast("long").alias("bucket"), F.round(tx.dose_log("dose"), 6).alias("log_dose"))
+
+
+@query(f"""{PREDICTED}, p as (select population, drug, dose, predicted, row_number() over (partition by population, drug, dose order by predicted) as place from pred),
+o as (select population, drug, dose, observed, row_number() over (partition by population, drug, dose order by observed) as place from pred)
+select population, drug, dose, round(avg(abs(predicted - observed)), 6) as wasserstein from p join o using (population, drug, dose, place) group by all""")
+def wasserstein_1d(spark, d):
+    return rounded(distances.wasserstein(_predictions(spark, d)), "wasserstein")
+
+
+@query(f"""{PREDICTED}, pts as (select population, drug, dose, 'p' as side, predicted as v from pred union all select population, drug, dose, 'o', observed from pred),
+pairs as (select x.population, x.drug, x.dose, x.side as a, y.side as b, abs(x.v - y.v) as d from pts x join pts y on x.population = y.population and x.drug = y.drug and x.dose = y.dose),
+w as (select population, drug, dose, greatest(median(d), 1e-8) as width from pairs where d > 0 group by all),
+k as (select population, drug, dose, a, b, avg(exp(-d * d / (2 * width * width))) as k from pairs join w using (population, drug, dose) group by all)
+select population, drug, dose, round(sqrt(greatest(sum(case when a = b then k else -k end), 0)), 5) as mmd from k group by all""")
+def mmd_rbf(spark, d):
+    return rounded(distances.mmd_rbf(_predictions(spark, d)), "mmd", digits=5)
+
+
+@query(f"""{PREDICTED}, t as (select population, drug, dose, feature_id, (mean - m0) / sqrt(variance / n_cells + v0 / n0) as t from a join c using (population, feature_id)),
+marks as (select population, drug, dose, feature_id, row_number() over (partition by population, drug, dose order by abs(t) desc, feature_id) <= {TOP_FEATURES} as hit from t),
+l as (select population, drug, dose, feature_id, case when hit then 1 else 0 end as hit, round(abs(predicted - control), 9) as sp, round(abs(observed - control), 9) as so from pred join marks using (population, drug, dose, feature_id)),
+r as (select *, row_number() over w as place, sum(hit) over (w rows unbounded preceding) as above, row_number() over (partition by population, drug, dose order by hit desc, so desc, feature_id) as tp
+  from l window w as (partition by population, drug, dose order by sp desc, feature_id))
+select population, drug, dose, round(sum((1 - hit) * above) / (sum(hit) * sum(1 - hit)), 6) as deg_auroc, round(sum(hit * above / place) / sum(hit), 6) as deg_auprc,
+  round(count(*) filter (hit = 1 and place <= {TOP_FEATURES // 2} and tp <= {TOP_FEATURES // 2}) / greatest(least(sum(hit), {TOP_FEATURES // 2}), 1), 6) as deg_overlap from r group by all""")
+def deg_ranking(spark, d):
+    marks = responses.welch_top(dt.observations(spark, d), _values(spark, d), TOP_FEATURES)
+    return rounded(distances.deg_ranking(_predictions(spark, d), marks, TOP_FEATURES // 2), "deg_auroc", "deg_auprc", "deg_overlap")
+
+
+@query(f"""{PREDICTED}, d as (select population, drug, dose, feature_id, predicted - control as p, observed - control as o from pred),
+cov as (select x.feature_id as i, y.feature_id as j, covar_samp(x.p, y.p) as p, covar_samp(x.o, y.o) as o from d x join d y on x.population = y.population and x.drug = y.drug and x.dose = y.dose group by all)
+select round(sqrt(sum((p - o) * (p - o))) / greatest(sqrt(sum(o * o)), 1e-12), 5) as css from cov""")
+def css(spark, d):
+    return rounded(distances.covariance_score(_predictions(spark, d)), "css", digits=5)
+
+
+@query(f"""{PREDICTED}, m as (select population, drug, dose, avg((predicted - observed) * (predicted - observed)) as mse from pred group by all),
+g as (select drug, avg(mse) as mse, count(distinct dose) as n_runs from m group by 1)
+select drug, round(mse, 6) as mse, n_runs from g union all select '__mean__', round(avg(mse), 6), max(n_runs) from g""")
+def drug_rollup(spark, d):
+    metrics = responses.condition_metrics(_predictions(spark, d))
+    return rounded(distances.rollup_means(metrics, "drug", "dose", ["mse"], "__mean__"), "mse")
+
+
+@query(f"""{PREDICTED}, m as (select population, drug, dose, avg((predicted - observed) * (predicted - observed)) as mse from pred group by all)
+select population, round(avg(mse), 6) as mse, count(distinct dose) as n_runs from m group by 1""")
+def population_rollup(spark, d):
+    metrics = responses.condition_metrics(_predictions(spark, d))
+    return rounded(distances.rollup_means(metrics, "population", "dose", ["mse"]), "mse")
+
+
+@query("select population, drug, dose, match_group, count(*) as n_cells from obs where not is_control group by all")
+def condition_group_census(spark, d):
+    return dt.observations(spark, d).where("not is_control").groupBy(*KEYS, "match_group").agg(F.count("*").alias("n_cells"))
