@@ -17,6 +17,8 @@ MIN_SUPPORT = 3
 #: Share of an entity's information, -log p(entity), that a term may give, pointwise mutual information over it,
 #: before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
+#: Stands for an entity where rows are counted; no entity is empty.
+ROW = ""
 #: Words, for terms: between white space and sentence marks, in either engine.
 BREAK = r"""[ \t-\r.,;:!?()\[\]"']+"""
 
@@ -84,18 +86,26 @@ def _near(text: str, span, spans) -> list[str]:
         lo, hi = max(0, lo - 160), min(len(text), hi + 160)
     left = [m for m in _WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-REACH:]
     right = [m for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:REACH]
-    return [m[0] for m in (*left, *right) if len(m[0]) > 2 and not any(x < m.end() and m.start() < y for x, y, _ in spans)]
+    return [m[0] for m in (*left, *right) if len(m[0]) > 2 and not any(x <= m.end() and m.start() <= y for x, y, _ in spans)]
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _pairs(batches):
-    """entity, term (null for the entity itself) and a digest of the surroundings, so that copies count once."""
+    """entity, term (null for the entity itself) and a digest of the surroundings, so that copies count once; with the
+    entity ROW, the terms near any entity and a digest of the row."""
     for part in text_slices(batches):
         out = set()
-        for text in part.column("text").to_pylist():
+        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
             spans = base_spans(text) if text else []
+            around = {t for s in spans for t in _near(text, s, spans)}
+            row = _digest(f"{doc}\t{text}") if around else 0
+            out.update((ROW, t, row) for t in around)
             for s in spans:
                 entity, near = _entity(text, s), _near(text, s, spans)
-                place = int.from_bytes(hashlib.blake2b("\t".join(near).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                place = _digest("\t".join(near))
                 out.add((entity, None, place))
                 out.update((entity, t, place) for t in near)
         cols = list(zip(*out)) or [(), (), ()]
@@ -104,17 +114,24 @@ def _pairs(batches):
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """entity, term, action: terms whose pointwise mutual information with the entity reaches the thresholds' share of
-    the entity's information. Probabilities are document frequencies over the whole corpus."""
-    pairs = cut(docs.select("text").mapInArrow(_pairs, "entity string, term string, place long").distinct())
+    the entity's information. Probabilities are document frequencies over the whole corpus.
+
+    A term's rows near entities bound its frequency from below: terms which that already keeps under GENERALISE, such as
+    common words, are not counted in the corpus.
+    """
+    pairs = cut(docs.select("doc_id", "text").mapInArrow(_pairs, "entity string, term string, place long").distinct())
     counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    both = counts.where((F.col("term").isNotNull()) & (F.col("n") >= MIN_SUPPORT))
-    both = cut(both.join(counts.where("term is null").select("entity", F.col("n").alias("n_entity")), "entity"))
+    total = docs.agg(F.greatest(F.count("text"), F.lit(1)).alias("n_docs"))
+    share = lambda n_term: F.log(F.col("n") * F.col("n_docs") / (F.col("n_entity") * n_term)) / F.log(F.col("n_docs") / F.col("n_entity"))
+    entities = counts.where((F.col("entity") != ROW) & F.col("term").isNull()).select("entity", F.col("n").alias("n_entity"))
+    near = counts.where(F.col("entity") == ROW).select("term", F.col("n").alias("n_near"))
+    both = counts.where((F.col("entity") != ROW) & F.col("term").isNotNull() & (F.col("n") >= MIN_SUPPORT))
+    both = both.join(entities, "entity").join(near, "term").crossJoin(F.broadcast(total)).where("n_docs > n_entity")
+    both = cut(both.where(share(F.col("n_near")) >= GENERALISE - 1e-9).drop("n_near"))
     terms = cut(both.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
     found = words.join(hinted(terms, F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.greatest(F.count("text"), F.lit(1)).alias("n_docs"))
-    share = F.log(F.col("n") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.col("n_docs") / F.col("n_entity"))
-    scored = both.join(found, "term").crossJoin(F.broadcast(total)).where("n_docs > n_entity").withColumn("share", share)
+    scored = both.join(found, "term").withColumn("share", share(F.col("n_term")))
     return scored.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
