@@ -86,6 +86,7 @@ def _pack(batches, path: str, width: int, end_id: int):
                         at += len(piece[2])
         if len(out) >= 8192:
             yield flush()
+    enc.rest()
     rest = sorted(opened.values(), key=lambda held: -sum(len(p[2]) for p in held))
     queue = [piece for held in rest for piece in held]
     window = at = 0

@@ -3,15 +3,17 @@
 A byte-level BPE of this kind never merges across a single space or line feed that stands between two visible
 characters, so the ids of a text are those of its pieces, each after the first with the space or line feed before it.
 Nor does it merge a letter with a sentence mark or symbol after it. Most pieces recur; a worker keeps the ids of up to CACHE pieces
-and has the library encode the rest, many to a call.
+and has the library encode the rest, many to a call. Between tasks it keeps the first of them only, as a rule the most
+frequent: Spark may hold more idle workers than it has cores.
 """
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
-CACHE = 800_000
+CACHE, IDLE = 800_000, 150_000
 #: Marks that end a word without joining its last letters; an apostrophe may.
 MARKS = ".,;:!?#$%&*|"
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -78,6 +80,11 @@ class Encoder:
         get = self.known.__getitem__
         return [np.frombuffer(np.array(h.ids, dtype=self.dtype).tobytes() + b"".join(map(get, parts[1:])), dtype=self.dtype) for h, parts in zip(heads, split)]
 
+    def rest(self) -> None:
+        """At the end of a task."""
+        if len(self.known) > IDLE:
+            self.known = dict(islice(self.known.items(), IDLE))
+
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and path."""

@@ -94,6 +94,7 @@ def _write(batches, path, end_id, dictionary):
                 block, held, ids, arrays = block + 1, 0, [], []
     if ids:
         yield flush()
+    enc.rest()
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2) -> None:
