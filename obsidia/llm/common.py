@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 #: Buckets of at most so many ids are compared pair by pair.
 FEW = 12
+#: Links that contraction has left are united in one task if they are counted to be at most so many (160 kB).
+FEW_LINKS = 10_000
 
 
 #: Rows of an Arrow batch. Rows are whole texts, and Spark's 10,000 of them would take much memory on either side.
@@ -75,35 +77,59 @@ def text_slices(batches, column: str = "text", limit: int = 2 << 20):
             yield batch.slice(start)
 
 
+def _unite(batches):
+    """Rows (v, p): the least vertex p of the component of each vertex of a few links (a, b)."""
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    found = list(parent)
+    yield pa.record_batch([pa.array(found, pa.int64()), pa.array([root(v) for v in found], pa.int64())], names=["v", "p"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges (a, b): rows (v, component), component = least id of each component.
 
     Each round maps every vertex to the one that comes first, in an order drawn anew, among itself and its neighbours, and
     contracts the edges: about half of the vertices of a chain disappear, of a star nearly all, the last in order of a
-    component surely. Nothing is collected but whether edges are left. Null ends and self links are ignored; vertices
-    without links don't appear.
+    component surely. Nothing is collected but the number of edges left; once these are at most FEW_LINKS, whatever the
+    input, one task unites them instead of further rounds. Null ends and self links are ignored; vertices without links
+    don't appear.
     """
     e = store(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    labels, turn = None, 0
-    while not e.isEmpty():
+    labels, turn, left = None, 0, e.count()
+    while left:
         turn += 1
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
-        first = both.groupBy("a").agg(F.min(drawn("b")).alias("m"))
-        up = store(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")))
+        if left <= FEW_LINKS:
+            up = store(e.coalesce(1).mapInArrow(_unite, "v long, p long"))
+        else:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
+            first = both.groupBy("a").agg(F.min(drawn("b")).alias("m"))
+            up = store(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")))
         if labels is None:
             labels = up.withColumnRenamed("p", "root")
         else:
             labels = labels.alias("l").join(up.alias("u"), F.col("l.root") == F.col("u.v"), "left")
             labels = labels.select("l.v", F.coalesce("u.p", "l.root").alias("root"))
+        if left <= FEW_LINKS:
+            break
         e = e.join(up.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
         e = e.join(up.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         e = e.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         e = store(e)
+        left = e.count()
     if labels is None:
         return e.select(F.col("a").alias("v"), F.col("b").alias("component"))
     labels = store(labels)

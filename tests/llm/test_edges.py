@@ -135,7 +135,10 @@ def test_near_duplicates(docs, none):
     assert near_duplicates.classes(none).count() == 0
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("few", [0, 5, common.FEW_LINKS])
+def test_components_of_chains(spark, monkeypatch, few):
+    """By rounds alone, by rounds and a last task, and by that task alone."""
+    monkeypatch.setattr(common, "FEW_LINKS", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(None, 3), (70, 70), (81, 80)], "a long, b long")
     got = {r.v: r.component for r in common.connected_components(edges).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and got[81] == 80 and 70 not in got
