@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from obsidia.llm import benchmarks, common, language, lines, near_duplicates, packing, private, quality, suffixes, token_counts, token_files
+from obsidia.llm import benchmarks, common, language, lines, near_duplicates, packing, private, quality, subwords, suffixes, token_counts, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, id long, key long, digest string, tokens string, n long, row string, bands string"
 BASE = " ".join(f"word{i} stands here" for i in range(60))
@@ -116,6 +116,26 @@ def test_disclosing_term(spark):
     assert got[0].n_term == 1 and "Zorblax" not in got[0].clean_text and got[30].n_term == 0
 
 
+@pytest.mark.parametrize("cache, idle", [(subwords.CACHE, subwords.IDLE), (300, 40)])
+def test_encoder_equals_tokenizer(monkeypatch, cache, idle):
+    """Whatever a worker remembers of pieces, ids are those of the library for the whole text."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(subwords, "CACHE", cache)
+    monkeypatch.setattr(subwords, "IDLE", idle)
+    path = subwords.default_path()
+    ours, whole = subwords.Encoder(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = np.random.default_rng(6)
+    parts = [*"ab.,;!?'# \n\t\r", "  ", "word", "Straße", "naïve", "don't", "12", "日本", "é", "\u00a0", "<|endoftext|>", "x" * 30]
+    texts = ["", " ", "\n", *(" ".join(f"w{i}x{j}" for j in range(90)) for i in range(20)), *("".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(400))]
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], ours.encode(texts[at : at + 50])):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        ours.rest()
+        assert len(ours.known) <= max(idle, 1)
+
+
 def test_token_files(docs, none):
     rows = token_files.token_files(docs).collect()
     assert len(rows) == docs.count() and sorted(r.start for r in rows)[0] == 0 and token_files.token_files(none).count() == 0
