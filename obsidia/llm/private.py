@@ -1,6 +1,7 @@
 """Personal data: spans of protected entities, and of terms that disclose them by corpus co-occurrence."""
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -12,8 +13,8 @@ from obsidia.llm.common import cut, hinted, table, text_slices
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms are looked for among so many words on either side of an entity.
 REACH = 8
-#: A term counts only if it stands near an entity in so many documents with different surroundings.
-MIN_SUPPORT = 3
+#: A term counts only if so few of the corpus's words, or fewer, are expected to share as many texts with an entity by chance.
+CHANCE = 0.5
 #: Share of an entity's information, -log p(entity), that a term may give, pointwise mutual information over it,
 #: before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
@@ -89,50 +90,64 @@ def _near(text: str, span, spans) -> list[str]:
     return [m[0] for m in (*left, *right) if len(m[0]) > 2 and not any(x <= m.end() and m.start() <= y for x, y, _ in spans)]
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def _pairs(batches):
-    """entity, term (null for the entity itself) and a digest of the surroundings, so that copies count once; with the
-    entity ROW, the terms near any entity and a digest of the row."""
+    """entity, term (null for the entity itself) and the digest of the text; with the entity ROW, the terms near any entity."""
     for part in text_slices(batches):
         out = set()
-        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+        for copy, text in zip(part.column("copy").to_pylist(), part.column("text").to_pylist()):
             spans = base_spans(text) if text else []
-            around = {t for s in spans for t in _near(text, s, spans)}
-            row = _digest(f"{doc}\t{text}") if around else 0
-            out.update((ROW, t, row) for t in around)
             for s in spans:
                 entity, near = _entity(text, s), _near(text, s, spans)
-                place = _digest("\t".join(near))
-                out.add((entity, None, place))
-                out.update((entity, t, place) for t in near)
+                out.add((entity, None, copy))
+                out.update((e, t, copy) for t in near for e in (ROW, entity))
         cols = list(zip(*out)) or [(), (), ()]
-        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entity", "term", "place"])
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entity", "term", "copy"])
+
+
+def _share(n_term) -> F.Column:
+    """Pointwise mutual information of a term and an entity over the entity's information."""
+    return F.log(F.col("n") * F.col("n_docs") / (F.col("n_entity") * n_term)) / F.log(F.col("n_docs") / F.col("n_entity"))
+
+
+def _by_chance(n_term, n_words) -> F.Column:
+    """Log of a bound of how many of n_words words, in n_term texts each, share n texts with an entity by chance.
+
+    If the entity's texts were drawn at random, n or more of them would hold the word with a probability of at most
+    C(n_entity, n) * C(n_term, n) / C(n_docs, n) <= m ** n / n! with m = n_entity * n_term / n_docs, and
+    n! >= sqrt(2 pi n) * (n / e) ** n.
+    """
+    n, m = F.col("n"), F.col("n_entity") * n_term / F.col("n_docs")
+    return F.log(n_words) + n * (F.log(m / n) + 1) - F.log(2 * math.pi * n) / 2
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """entity, term, action: terms whose pointwise mutual information with the entity reaches the thresholds' share of
-    the entity's information. Probabilities are document frequencies over the whole corpus.
+    the entity's information. Probabilities are document frequencies over the whole corpus, in which all documents with
+    the same text are one.
+
+    A term counts if at most CHANCE of the corpus's words are expected to go with the entity as often by chance. One text
+    in common is never evidence, as every word of it goes with its entities; two can be.
 
-    A term's rows near entities bound its frequency from below: terms which that already keeps under GENERALISE, such as
-    common words, are not counted in the corpus.
+    A term's texts near entities bound its frequency from below, and the words near entities bound the corpus's: terms
+    which these already keep out, such as common words, are not counted in the corpus.
     """
-    pairs = cut(docs.select("doc_id", "text").mapInArrow(_pairs, "entity string, term string, place long").distinct())
+    docs = docs.select("text", F.xxhash64("text").alias("copy")).where("text is not null")
+    pairs = cut(docs.mapInArrow(_pairs, "entity string, term string, copy long").distinct())
     counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    total = docs.agg(F.greatest(F.count("text"), F.lit(1)).alias("n_docs"))
-    share = lambda n_term: F.log(F.col("n") * F.col("n_docs") / (F.col("n_entity") * n_term)) / F.log(F.col("n_docs") / F.col("n_entity"))
+    total = docs.agg(F.greatest(F.countDistinct("copy"), F.lit(1)).alias("n_docs"))
     entities = counts.where((F.col("entity") != ROW) & F.col("term").isNull()).select("entity", F.col("n").alias("n_entity"))
     near = counts.where(F.col("entity") == ROW).select("term", F.col("n").alias("n_near"))
-    both = counts.where((F.col("entity") != ROW) & F.col("term").isNotNull() & (F.col("n") >= MIN_SUPPORT))
-    both = both.join(entities, "entity").join(near, "term").crossJoin(F.broadcast(total)).where("n_docs > n_entity")
-    both = cut(both.where(share(F.col("n_near")) >= GENERALISE - 1e-9).drop("n_near"))
+    both = counts.where((F.col("entity") != ROW) & F.col("term").isNotNull() & (F.col("n") > 1))
+    both = both.join(entities, "entity").join(near, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(near.agg(F.count("*").alias("n_words"))))
+    likely = (_share(F.col("n_near")) >= GENERALISE - 1e-9) & (_by_chance(F.col("n_near"), F.col("n_words")) <= math.log(CHANCE) + 1e-9)
+    both = cut(both.where("n_docs > n_entity").where(likely).drop("n_near", "n_words"))
     terms = cut(both.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
-    found = words.join(hinted(terms, F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = both.join(found, "term").withColumn("share", share(F.col("n_term")))
-    return scored.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    words = docs.select("copy", F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
+    found = words.join(hinted(terms, F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.countDistinct("copy").alias("n_term"))
+    known = words.agg(F.approx_count_distinct("term", 0.02).alias("n_words"))
+    scored = both.join(found, "term").crossJoin(F.broadcast(known)).withColumn("share", _share(F.col("n_term")))
+    scored = scored.where((F.col("share") >= GENERALISE) & (_by_chance(F.col("n_term"), F.col("n_words")) <= math.log(CHANCE)))
+    return scored.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
 def _spans(batches, redact):
@@ -176,7 +191,7 @@ def sanitise(docs: DataFrame, redact: bool = True) -> DataFrame:
     generalised to [TERM] or removed.
 
     Null texts count as empty and have no spans; a null doc_id keeps its base spans but gets no terms; rows with
-    the same doc_id share their terms; copies with the same surroundings count once as evidence; other columns are
+    the same doc_id share their terms; copies of a text count once as evidence; other columns are
     not read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")

@@ -116,6 +116,19 @@ def test_disclosing_term(spark):
     assert got[0].n_term == 1 and "Zorblax" not in got[0].clean_text and got[30].n_term == 0
 
 
+def test_terms_of_signatures_copies_and_two_documents(spark):
+    """One passage around an address in different documents; copies of a text; an entity of two documents."""
+    rows = [(i, f"start{i} of{i} the rows\n" + ("a b c d e f Zorblax x@y.org a b c d e f g h" if i < 6 else "") + f" end{i}", "en", "a") for i in range(300)]
+    rows += [(1000 + i, "Quenneth q@r.org in copies of one text", "en", "a") for i in range(200)]
+    rows += [(2000 + i, f"other{i} Quenneth{'' if i < 3 else 's'} q@r.org", "en", "a") for i in range(4)]
+    rows += [(3000 + i, f"two{i} Vexley v@w.org", "en", "a") for i in range(2)]
+    got = {r.doc_id: r for r in private.sanitise(frame(spark, rows)).collect()}
+    assert all(got[i].clean_text.count("Zorblax") == 0 and got[i].n_term > 0 for i in range(6))
+    assert all("Quenneth " not in got[i].clean_text for i in (1000, 1199, 2000, 2001, 2002))
+    assert "Vexley" not in got[3000].clean_text and "Vexley" not in got[3001].clean_text
+    assert got[3000].n_term == 1 and got[299].n_term == 0
+
+
 @pytest.mark.parametrize("cache, idle", [(subwords.CACHE, subwords.IDLE), (300, 40)])
 def test_encoder_equals_tokenizer(monkeypatch, cache, idle):
     """Whatever a worker remembers of pieces, ids are those of the library for the whole text."""
