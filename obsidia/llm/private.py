@@ -8,18 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidia.llm.common import cut, hinted, table, text_slices
+from obsidia.llm.common import cut, hinted, store, table, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Terms are looked for among so many words on either side of an entity.
-REACH = 8
 #: A term counts only if so few of the corpus's words, or fewer, are expected to share as many texts with an entity by chance.
 CHANCE = 0.5
 #: Share of an entity's information, -log p(entity), that a term may give, pointwise mutual information over it,
 #: before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Stands for an entity where rows are counted; no entity is empty.
-ROW = ""
 #: Words, for terms: between white space and sentence marks, in either engine.
 BREAK = r"""[ \t-\r.,;:!?()\[\]"']+"""
 
@@ -79,29 +75,27 @@ def _entity(text: str, span) -> str:
     return f"{kind}:{text[a:b].lower() if kind == 'email' else re.sub('[^0-9.]', '', text[a:b])}"
 
 
-def _near(text: str, span, spans) -> list[str]:
-    """Words near a span, none of which touches a span."""
-    a, b, _ = span
-    lo, hi = a, b
-    for _ in range(2):  # enough text for REACH words on either side; a longer word is no term
-        lo, hi = max(0, lo - 160), min(len(text), hi + 160)
-    left = [m for m in _WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-REACH:]
-    right = [m for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:REACH]
-    return [m[0] for m in (*left, *right) if len(m[0]) > 2 and not any(x <= m.end() and m.start() <= y for x, y, _ in spans)]
+def _words(text: str, spans) -> list[str]:
+    """The distinct words of a text that may be terms: of three characters or more, where they touch no span."""
+    out, i, reach = set(), 0, -1
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][0] <= m.end():
+            reach = max(reach, spans[i][1])
+            i += 1
+        if m.end() - m.start() > 2 and reach < m.start():
+            out.add(m[0])
+    return sorted(out)
 
 
-def _pairs(batches):
-    """entity, term (null for the entity itself) and the digest of the text; with the entity ROW, the terms near any entity."""
+def _held(batches):
+    """Of texts that hold entities: digest, entities, and the words that may be terms."""
     for part in text_slices(batches):
-        out = set()
+        rows = []
         for copy, text in zip(part.column("copy").to_pylist(), part.column("text").to_pylist()):
-            spans = base_spans(text) if text else []
-            for s in spans:
-                entity, near = _entity(text, s), _near(text, s, spans)
-                out.add((entity, None, copy))
-                out.update((e, t, copy) for t in near for e in (ROW, entity))
-        cols = list(zip(*out)) or [(), (), ()]
-        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entity", "term", "copy"])
+            if spans := base_spans(text):
+                rows.append((copy, sorted({_entity(text, s) for s in spans}), _words(text, spans)))
+        cols = list(zip(*rows)) or [(), (), ()]
+        yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.string())) for c in cols[1:])], names=["copy", "entities", "words"])
 
 
 def _share(n_term) -> F.Column:
@@ -113,41 +107,65 @@ def _by_chance(n_term, n_words) -> F.Column:
     """Log of a bound of how many of n_words words, in n_term texts each, share n texts with an entity by chance.
 
     If the entity's texts were drawn at random, n or more of them would hold the word with a probability of at most
-    C(n_entity, n) * C(n_term, n) / C(n_docs, n) <= m ** n / n! with m = n_entity * n_term / n_docs, and
-    n! >= sqrt(2 pi n) * (n / e) ** n.
+    C(n_entity, n) * C(n_term, n) / C(n_docs, n) <= m ** n / n!, with m as below, as k * (k - 1) * ... (n factors) is at
+    most (k - (n - 1) / 2) ** n and at least (k - n + 1) ** n; and n! >= sqrt(2 pi n) * (n / e) ** n.
     """
-    n, m = F.col("n"), F.col("n_entity") * n_term / F.col("n_docs")
+    n, half = F.col("n"), (F.col("n") - 1) / 2
+    m = (F.col("n_entity") - half) * (n_term - half) / (F.col("n_docs") - n + 1)
     return F.log(n_words) + n * (F.log(m / n) + 1) - F.log(2 * math.pi * n) / 2
 
 
+def _by_texts(rows: DataFrame, name: str, n: str) -> DataFrame:
+    """rows (copy, name) with the texts that hold each name: their number n and, with it, a digest of their set."""
+    every = rows.groupBy(name).agg(F.count("*").alias(n), *(F.bit_xor(F.xxhash64(F.lit(i), "copy")).alias(f"x{i}") for i in range(2)))
+    return every.where(F.col(n) > 1).select(name, n, F.struct(n, "x0", "x1").alias(f"{name}_set"))
+
+
+def _disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, entity_set) of the entities of two texts or more, and (entity_set, term, action).
+
+    Entities of the same texts are one set, and so are words: texts of many entities and words pair only their sets.
+    """
+    docs = docs.select("text", F.xxhash64("text").alias("copy")).where("text is not null")
+    held = store(docs.mapInArrow(_held, "copy long, entities array<string>, words array<string>").groupBy("copy").agg(F.any_value("entities").alias("entities"), F.any_value("words").alias("words")))
+    total = docs.agg(F.greatest(F.countDistinct("copy"), F.lit(1)).alias("n_docs"))
+    in_text = held.select("copy", F.explode("entities").alias("entity"))
+    entities = store(_by_texts(in_text, "entity", "n_entity").crossJoin(F.broadcast(total)).where("n_docs > n_entity"))
+    risky = "entity_set struct<n_entity:bigint,x0:bigint,x1:bigint>, term string, action string"
+    if entities.isEmpty():
+        return entities.select("entity", "entity_set"), docs.sparkSession.createDataFrame([], risky)
+    in_text = store(in_text.join(hinted(entities, 80 + F.length("entity")), "entity").select("copy", "entity_set", "n_entity", "n_docs").distinct())
+    words = held.join(hinted(store(in_text.select("copy").distinct()), 16), "copy", "left_semi").select("copy", F.explode("words").alias("term"))
+    n_words = words.agg(F.approx_count_distinct("term", 0.02).alias("n_words"))
+    near = store(_by_texts(words, "term", "n_near"))
+    sets = words.join(hinted(near, 64 + F.length("term")), "term").select("copy", "term_set", "n_near").distinct()
+    # a term of n_near texts can share at most n_entity with an entity
+    can = F.col("n_near") <= F.col("n_docs") ** (1 - GENERALISE) * F.col("n_entity") ** GENERALISE * (1 + 1e-9)
+    both = in_text.join(sets, "copy").where(can).groupBy("entity_set", "term_set", "n_entity", "n_near", "n_docs").agg(F.count("*").alias("n")).where("n > 1")
+    likely = (_share(F.col("n_near")) >= GENERALISE - 1e-9) & (_by_chance(F.col("n_near"), 0.9 * F.col("n_words")) <= math.log(CHANCE) + 1e-9)
+    both = store(both.crossJoin(F.broadcast(n_words)).where(likely).drop("n_near", "n_words"))
+    terms = store(near.join(hinted(store(both.select("term_set").distinct()), 64), "term_set", "left_semi").select("term", "term_set"))
+    corpus = docs.select("copy", F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
+    found = store(corpus.join(hinted(terms.select("term"), F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.countDistinct("copy").alias("n_term")))
+    known = corpus.agg(F.approx_count_distinct("term", 0.02).alias("n_words"))
+    scored = both.join(terms.join(found, "term"), "term_set").crossJoin(F.broadcast(known)).withColumn("share", _share(F.col("n_term")))
+    scored = scored.where((F.col("share") >= GENERALISE) & (_by_chance(F.col("n_term"), F.col("n_words")) <= math.log(CHANCE)))
+    return entities.select("entity", "entity_set"), store(scored.select("entity_set", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action")))
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """entity, term, action: terms whose pointwise mutual information with the entity reaches the thresholds' share of
     the entity's information. Probabilities are document frequencies over the whole corpus, in which all documents with
-    the same text are one.
+    the same text are one; a term may stand anywhere in a document.
 
     A term counts if at most CHANCE of the corpus's words are expected to go with the entity as often by chance. One text
     in common is never evidence, as every word of it goes with its entities; two can be.
 
-    A term's texts near entities bound its frequency from below, and the words near entities bound the corpus's: terms
+    A term's texts with entities bound its frequency from below, and the words of these texts the corpus's: terms
     which these already keep out, such as common words, are not counted in the corpus.
     """
-    docs = docs.select("text", F.xxhash64("text").alias("copy")).where("text is not null")
-    pairs = cut(docs.mapInArrow(_pairs, "entity string, term string, copy long").distinct())
-    counts = pairs.groupBy("entity", "term").agg(F.count("*").alias("n"))
-    total = docs.agg(F.greatest(F.countDistinct("copy"), F.lit(1)).alias("n_docs"))
-    entities = counts.where((F.col("entity") != ROW) & F.col("term").isNull()).select("entity", F.col("n").alias("n_entity"))
-    near = counts.where(F.col("entity") == ROW).select("term", F.col("n").alias("n_near"))
-    both = counts.where((F.col("entity") != ROW) & F.col("term").isNotNull() & (F.col("n") > 1))
-    both = both.join(entities, "entity").join(near, "term").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(near.agg(F.count("*").alias("n_words"))))
-    likely = (_share(F.col("n_near")) >= GENERALISE - 1e-9) & (_by_chance(F.col("n_near"), F.col("n_words")) <= math.log(CHANCE) + 1e-9)
-    both = cut(both.where("n_docs > n_entity").where(likely).drop("n_near", "n_words"))
-    terms = cut(both.select("term").distinct())
-    words = docs.select("copy", F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
-    found = words.join(hinted(terms, F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.countDistinct("copy").alias("n_term"))
-    known = words.agg(F.approx_count_distinct("term", 0.02).alias("n_words"))
-    scored = both.join(found, "term").crossJoin(F.broadcast(known)).withColumn("share", _share(F.col("n_term")))
-    scored = scored.where((F.col("share") >= GENERALISE) & (_by_chance(F.col("n_term"), F.col("n_words")) <= math.log(CHANCE)))
-    return scored.select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    entities, risky = _disclosing(docs)
+    return entities.join(risky, "entity_set").select("entity", "term", "action")
 
 
 def _spans(batches, redact):
@@ -195,11 +213,12 @@ def sanitise(docs: DataFrame, redact: bool = True) -> DataFrame:
     not read; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    risky = cut(disclosing_terms(docs))
+    entities, risky = _disclosing(docs)
     if risky.isEmpty():
         joined = docs.withColumn("risky", F.lit(None).cast("array<struct<term:string,action:string>>"))
     else:
-        here = docs.mapInArrow(_entities, "doc_id long, entity string").join(hinted(risky, F.length("term") + F.length("entity") + 60), "entity")
+        here = docs.mapInArrow(_entities, "doc_id long, entity string").join(hinted(entities, F.length("entity") + 60), "entity")
+        here = here.select("doc_id", "entity_set").distinct().join(hinted(risky, F.length("term") + 80), "entity_set")
         terms = here.groupBy("doc_id", "term").agg(F.max("action").alias("action"))
         terms = cut(terms.groupBy("doc_id").agg(F.collect_list(F.struct("term", "action")).alias("risky")))
         joined = docs.join(hinted(terms, 48 + 64 * F.size("risky")), "doc_id", "left")

@@ -129,6 +129,19 @@ def test_terms_of_signatures_copies_and_two_documents(spark):
     assert got[3000].n_term == 1 and got[299].n_term == 0
 
 
+def test_terms_far_from_entities(spark):
+    """A name in the salutation, the address in the footer, and many entities and words of the same documents."""
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(400))
+    rows = [(i, f"Dear Zorblax\n{body(i)}\nat x@y.org" if i < 4 else f"Dear all\n{body(i)}", "en", "a") for i in range(100)]
+    many = " ".join(f"n{k}@list.org name{k}" for k in range(50))
+    rows += [(1000 + i, f"{many} {body(1000 + i)}", "en", "a") for i in range(4)]
+    got = {r.doc_id: r for r in private.sanitise(frame(spark, rows)).collect()}
+    assert all(got[i].n_term == 1 and "Zorblax" not in got[i].clean_text for i in range(4))
+    assert all(got[1000 + i].n_term == 50 for i in range(4)) and got[50].n_term == 0
+    terms = {(r.entity, r.term) for r in private.disclosing_terms(frame(spark, rows)).collect()}
+    assert terms == {("email:x@y.org", "Zorblax")} | {(f"email:n{a}@list.org", f"name{b}") for a in range(50) for b in range(50)}
+
+
 @pytest.mark.parametrize("cache, idle", [(subwords.CACHE, subwords.IDLE), (300, 40)])
 def test_encoder_equals_tokenizer(monkeypatch, cache, idle):
     """Whatever a worker remembers of pieces, ids are those of the library for the whole text."""
