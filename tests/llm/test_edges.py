@@ -93,6 +93,28 @@ def test_lines(docs, none):
     assert kept.columns == docs.columns and kept.count() == docs.count() and lines.without_duplicates(none).count() == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    """Lines of 30 to 75 characters, each with a changed character inside, against all pairs and their components."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    every = []
+    for n in range(30, 76):
+        s = "x" + draw(n - 2) + "y"
+        at = n // 2
+        every += [s, s[:at] + "7" + s[at + 1 :], s[:at] + "Q" + s[at + 1 :]]
+    gram = lambda s: {s[i : i + 4] for i in range(max(1, len(s) - 3))}
+    sets = [gram(" ".join(s.lower().split())) for s in every]
+    root = list(range(len(every)))
+    for i in range(len(every)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    want = {i for i, r in enumerate(root) if r != i}
+    got = lines.line_report(frame(spark, [(i, s, "en", "a") for i, s in enumerate(every)])).collect()
+    assert {r.doc_id for r in got if r.n_removed} == want and len(want) > 60
+
+
 def test_private(docs, none):
     rows = {r.doc_id: r for r in private.sanitise(docs).collect()}
     assert rows[None].n_email == 1 and rows[None].n_phone == 1 and "[EMAIL]" in rows[None].clean_text
