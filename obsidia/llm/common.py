@@ -1,5 +1,6 @@
 """Helpers shared by the text operators: tables, checkpoints, size-checked joins, components."""
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
 BROADCAST_BYTES = 8 << 20
-#: Buckets of at most so many ids are compared pair by pair.
+#: Buckets of at most so many ids are compared pair by pair; twice as many after each time that they have been split.
 FEW = 12
-#: Links that contraction has left are united in one task if they are counted to be at most so many (160 kB).
-FEW_LINKS = 10_000
+#: Larger buckets are split by further minima, STEP of MARKS at a time, at first in TREES ways.
+TREES, STEP, MARKS = 3, 4, 24
+#: Links that contraction has left are united in one task if they are counted to be at most so many (1.6 MB).
+FEW_LINKS = 100_000
 
 
 #: Rows of an Arrow batch. Rows are whole texts, and Spark's 10,000 of them would take much memory on either side.
@@ -32,13 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="obsidia-"))
     return sc.getCheckpointDir()
 
@@ -49,11 +54,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder, of which later steps read the columns they need."""
+def store(df: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, of which later steps read the columns they need.
+
+    The table is noted in scratch, if given, for drop().
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    if scratch is not None:
+        scratch.append((df.sparkSession, path))
+    return stored
+
+
+def drop(scratch: list) -> None:
+    """Deletes stored tables that nothing reads any more; what was made from them must be stored itself."""
+    for spark, path in scratch:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    scratch.clear()
 
 
 def hinted(df: DataFrame, row_bytes) -> DataFrame:
@@ -101,97 +120,130 @@ def connected_components(edges: DataFrame) -> DataFrame:
     contracts the edges: about half of the vertices of a chain disappear, of a star nearly all, the last in order of a
     component surely. Nothing is collected but the number of edges left; once these are at most FEW_LINKS, whatever the
     input, one task unites them instead of further rounds. Null ends and self links are ignored; vertices without links
-    don't appear.
+    don't appear. Both sides of each join are stored first, so that Spark can split a hub or a large component.
     """
+    rounds: list = []
     e = store(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        rounds,
     )
     labels, turn, left = None, 0, e.count()
     while left:
         turn += 1
         if left <= FEW_LINKS:
-            up = store(e.coalesce(1).mapInArrow(_unite, "v long, p long"))
+            up = store(e.coalesce(1).mapInArrow(_unite, "v long, p long"), rounds)
         else:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
             first = both.groupBy("a").agg(F.min(drawn("b")).alias("m"))
-            up = store(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")))
+            up = store(first.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["v"].alias("p")), rounds)
         if labels is None:
             labels = up.withColumnRenamed("p", "root")
         else:
             labels = labels.alias("l").join(up.alias("u"), F.col("l.root") == F.col("u.v"), "left")
-            labels = labels.select("l.v", F.coalesce("u.p", "l.root").alias("root"))
+            labels = store(labels.select("l.v", F.coalesce("u.p", "l.root").alias("root")), rounds)
         if left <= FEW_LINKS:
             break
         e = e.join(up.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
         e = e.join(up.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        e = e.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        e = store(e)
+        e = store(e.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), rounds)
         left = e.count()
     if labels is None:
         return e.select(F.col("a").alias("v"), F.col("b").alias("component"))
-    labels = store(labels)
-    least = labels.groupBy("root").agg(F.min("v").alias("component"))
-    return store(labels.join(least, "root").select("v", "component"))
+    if turn == 1:  # one task has united them all, under the least ids
+        drop(rounds[:-1])
+        return labels.withColumnRenamed("root", "component")
+    least = store(labels.groupBy("root").agg(F.min("v").alias("component")), rounds)
+    found = store(labels.join(least, "root").select("v", "component"))
+    drop(rounds)
+    return found
+
+
+def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with `column` of the rows (id, column) of both; those of the same a follow each other."""
+    for side in ("b", "a"):
+        pairs = pairs.join(of.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
 
+def _sized(buckets: DataFrame) -> DataFrame:
+    """(key, n) of the buckets (key, id, w) of n > 1 ids."""
+    heads = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return heads.select("key", "n")
 
-def _prefix_pairs(tokens: DataFrame, ratio: float) -> DataFrame:
-    """Pairs (a, b) of different components c, from rows (id, c, tokens), that hold every pair with a Jaccard similarity
-    of ratio or more.
 
-    Each set's tokens are put in order of their number of sets, rarest first. Similar sets share a token among the first
-    n - ceil(ratio * n) + 1 of either, and their first common token leaves enough after it in both; tokens that only one
-    set has are counted but not joined. So sets that differ from all others by rare tokens meet none.
+def _stars(buckets: DataFrame, ratio: float, scratch: list) -> DataFrame:
+    """Pairs (a, b) of each bucket's medoid and its other ids, from rows (key, id, w, n, c).
+
+    The medoid is the id whose buckets are the largest taken together: that of the text which most others are near to.
     """
-    rows = store(tokens.select("id", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
-    often = store(rows.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
-    by_set = W.partitionBy("id")
-    kept = rows.join(hinted(often, 32), "token").withColumn("place", F.col("n") - F.count("*").over(by_set) + F.row_number().over(by_set.orderBy("f", "token")) - 1)
-    kept = store(kept.where(F.col("place") <= F.col("n") - F.ceil(ratio * F.col("n") - 1e-9)).select("token", "id", "c", "n", "place"))
-    x, y = kept.alias("x"), kept.alias("y")
-    need = F.ceil(ratio / (1 + ratio) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (room >= need))
+    scored = store(buckets.withColumn("score", F.sum("n").over(W.partitionBy("id"))), scratch)
+    best = F.max(F.struct("score", (-F.col("id")).alias("minus"), "w", "c")).alias("m")
+    hubs = store(scored.groupBy("key").agg(best).select("key", (-F.col("m.minus")).alias("hub"), F.col("m.w").alias("hub_w"), F.col("m.c").alias("hub_c")), scratch)
+    rows = scored.join(hubs, "key").where((F.col("c") != F.col("hub_c")) & (F.least("w", "hub_w") >= ratio * F.greatest("w", "hub_w")))
+    return rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _crossed(buckets: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (a, b) of different components c in small buckets."""
+    x, y = buckets.alias("x"), buckets.alias("y")
+    near = F.least("x.w", "y.w") >= ratio * F.greatest("x.w", "y.w")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & near)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def banded_components(one: DataFrame, verify, tokens, ratio: float, sizes: DataFrame | None = None) -> DataFrame:
-    """Components of the links that `verify` confirms among ids sharing a bucket; rows (v, component).
+def banded_components(one: DataFrame, prepare, ratio: float) -> DataFrame:
+    """Components of the links among ids that share a bucket; rows (v, component).
 
-    one: (id, key), a row for each bucket of an id. sizes (id, n), if given, drops pairs before they are verified: a link
-    needs the smaller n at least ratio times the greater. In each bucket every id is compared with the least. Where
-    buckets then still hold several components, ids of different ones are compared if the bucket holds at most FEW; for
-    larger buckets `tokens` gives the sets (id, tokens) of their ids, and exact prefix filtering finds the pairs to
-    compare. So a linked pair that shares a bucket ends in one component, and no step pairs all ids of a bucket of any size.
-    """
+    one: (id, key, w), a row for each bucket of an id; a link needs the smaller w at least ratio times the greater.
+    prepare(ids) gives, for the ids that share any bucket, verify(pairs), which keeps the links among pairs (a, b), and
+    marks(ids): rows (id, marks), an array of MARKS further independent minima for each kind of bucket (key modulo
+    their number).
 
-    def near(pairs):
-        if sizes is None:
-            return pairs
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
-        return pairs.where(F.least("n_a", "n_b") >= ratio * F.greatest("n_a", "n_b")).select("a", "b")
-
-    # least and greatest as plain longs, which hash aggregation keeps in place
-    hubs = store(one.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub"))
-    # both grow with the corpus: never a broadcast by hint; keys of hubs are distinct, so a hash of them is even
-    shared = store(one.join(hubs.hint("shuffle_hash"), "key"))
-    star = store(near(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()))
-    links = store(verify(star))
-    comp = connected_components(links)
-    named = shared.select("key", "id").join(comp.withColumnRenamed("v", "id"), "id", "left")
-    named = named.select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    left = store(named.join(hinted(store(mixed), 24), "key"))
-    if left.isEmpty():
-        return comp
-    few = left.where(F.col("size") <= FEW)
-    x, y = few.alias("x"), few.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = store(left.where(F.col("size") > FEW).select("id", "c").distinct())
-    if not many.isEmpty():
-        across = across.unionByName(_prefix_pairs(tokens(many.select("id")).join(many, "id"), ratio))
-    across = store(near(across.distinct().join(star, ["a", "b"], "left_anti")))
-    return connected_components(links.unionByName(verify(across)))
+    In each bucket every id is compared with the medoid. Where a bucket then still holds several components, ids of
+    different ones are compared pair by pair if the bucket has at most FEW; a larger one is split by further minima, in
+    TREES ways, and its parts are treated likewise, FEW doubling, until none is left that is both large and mixed. So no
+    step pairs all ids of a bucket of any size, and like ids stay together longer than unlike ones.
+    """
+    scratch: list = []
+    heads = store(_sized(one), scratch)
+    # both grow with the corpus: never a broadcast by hint; keys of heads are distinct, so a hash of them is even
+    shared = store(one.join(heads.hint("shuffle_hash"), "key"), scratch)
+    verify, marks_of = prepare(store(shared.select("id").distinct(), scratch), scratch)
+    links = store(verify(store(_stars(shared.withColumn("c", F.col("id")), ratio, scratch), scratch)), scratch)
+    marks, buckets = None, shared.select("key", "id", "w", "n", F.lit(0).alias("tree"))
+    for level in range(MARKS // STEP + 1):
+        comp = connected_components(links)
+        named = buckets.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "w", "n", "tree", F.coalesce("component", "id").alias("c"))
+        mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
+        left = store(named.join(hinted(mixed, 16), "key"), scratch)
+        if left.isEmpty():
+            break
+        few, many = left.where(F.col("n") <= FEW), store(left.where(F.col("n") > FEW << level), scratch)
+        pairs = _crossed(few, ratio) if level == 0 else None
+        more = not many.isEmpty() and level < MARKS // STEP
+        if more:
+            if marks is None:
+                marks = store(marks_of(store(many.select("id").distinct(), scratch)), scratch)
+            kind = F.pmod(F.col("key"), F.size("marks").cast("long"))
+            tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))) if level == 0 else F.col("tree")
+            at = lambda i: F.get(F.get("marks", kind.cast("int")), F.pmod(F.col("tree") * (MARKS // TREES) + (level * STEP + i), F.lit(MARKS)))
+            parts = many.join(marks, "id").withColumn("tree", tree)
+            key = F.xxhash64("key", "tree", *(at(i) for i in range(STEP)))
+            parts = store(parts.select((key - F.pmod(key, F.size("marks").cast("long")) + kind).alias("key"), "id", "w", "c", "tree"), scratch)
+            buckets = store(parts.join(store(_sized(parts), scratch), "key"), scratch)
+            limit = FEW << (level + 1)
+            split = _crossed(buckets.where(F.col("n") <= limit), ratio).unionByName(_stars(buckets.where(F.col("n") > limit), ratio, scratch))
+            pairs = split if pairs is None else pairs.unionByName(split)
+        if pairs is None:
+            break
+        found = store(verify(store(pairs.distinct(), scratch)), scratch)
+        links = links.unionByName(found)
+        if not more:
+            comp = connected_components(links)
+            break
+        buckets = buckets.where(F.col("n") > limit).select("key", "id", "w", "n", "tree")
+    drop(scratch)
+    return comp
