@@ -168,10 +168,15 @@ def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _sized(buckets: DataFrame) -> DataFrame:
-    """(key, n) of the buckets (key, id, w) of n > 1 ids."""
-    heads = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return heads.select("key", "n")
+def _shared(buckets: DataFrame, scratch: list) -> DataFrame:
+    """The rows (key, id, ...) of buckets of n > 1 ids, with n."""
+    heads = store(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), scratch)
+    if buckets.columns != ["id", "key"]:
+        return store(buckets.join(heads.select("key", "n"), "key"), scratch)
+    # a bucket of two is known from its ends
+    two = heads.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("id"), "key", "n")
+    rest = hinted(store(heads.where("n > 2").select("key", "n"), scratch), 24)
+    return store(two.unionByName(buckets.join(rest, "key")), scratch)
 
 
 def _stars(buckets: DataFrame, ratio: float, scratch: list) -> DataFrame:
@@ -194,10 +199,11 @@ def _crossed(buckets: DataFrame, ratio: float) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def banded_components(one: DataFrame, prepare, ratio: float) -> DataFrame:
+def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame | None = None) -> DataFrame:
     """Components of the links among ids that share a bucket; rows (v, component).
 
-    one: (id, key, w), a row for each bucket of an id; a link needs the smaller w at least ratio times the greater.
+    one: (id, key), a row for each bucket of an id. sizes (id, w), if given, has rows for all ids: a link needs the smaller
+    w at least ratio times the greater.
     prepare(ids) gives, for the ids that share any bucket, verify(pairs), which keeps the links among pairs (a, b), and
     marks(ids): rows (id, marks), an array of MARKS further independent minima for each kind of bucket (key modulo
     their number).
@@ -208,9 +214,8 @@ def banded_components(one: DataFrame, prepare, ratio: float) -> DataFrame:
     step pairs all ids of a bucket of any size, and like ids stay together longer than unlike ones.
     """
     scratch: list = []
-    heads = store(_sized(one), scratch)
-    # both grow with the corpus: never a broadcast by hint; keys of heads are distinct, so a hash of them is even
-    shared = store(one.join(heads.hint("shuffle_hash"), "key"), scratch)
+    shared = _shared(one, scratch)
+    shared = store(shared.join(sizes, "id"), scratch) if sizes is not None else shared.withColumn("w", F.lit(1))
     verify, marks_of = prepare(store(shared.select("id").distinct(), scratch), scratch)
     links = store(verify(store(_stars(shared.withColumn("c", F.col("id")), ratio, scratch), scratch)), scratch)
     marks, buckets = None, shared.select("key", "id", "w", "n", F.lit(0).alias("tree"))
@@ -233,7 +238,7 @@ def banded_components(one: DataFrame, prepare, ratio: float) -> DataFrame:
             parts = many.join(marks, "id").withColumn("tree", tree)
             key = F.xxhash64("key", "tree", *(at(i) for i in range(STEP)))
             parts = store(parts.select((key - F.pmod(key, F.size("marks").cast("long")) + kind).alias("key"), "id", "w", "c", "tree"), scratch)
-            buckets = store(parts.join(store(_sized(parts), scratch), "key"), scratch)
+            buckets = _shared(parts, scratch)
             limit = FEW << (level + 1)
             split = _crossed(buckets.where(F.col("n") <= limit), ratio).unionByName(_stars(buckets.where(F.col("n") > limit), ratio, scratch))
             pairs = split if pairs is None else pairs.unionByName(split)
