@@ -223,7 +223,7 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
         comp = connected_components(links)
         named = buckets.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "w", "n", "tree", F.coalesce("component", "id").alias("c"))
         mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
-        left = store(named.join(hinted(mixed, 16), "key"), scratch)
+        left = store(named.join(mixed, "key"), scratch)
         if left.isEmpty():
             break
         few, many = left.where(F.col("n") <= FEW), store(left.where(F.col("n") > FEW << level), scratch)
