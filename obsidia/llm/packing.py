@@ -10,6 +10,8 @@ from obsidia.llm.common import small_batches, text_slices
 from obsidia.llm.subwords import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Share of a window that may be padding when its partition ends.
+SLACK = 0.02
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -47,9 +49,8 @@ class SquaresPacker:
 
 
 def _pack(batches, path: str, width: int, end_id: int):
-    """Full windows are cut from each document first; its rest is placed online. When the partition ends, the
-    windows still open are emptied, from the emptiest, into the fullest, cut where one is full: at most one
-    window of a partition stays short."""
+    """Full windows are cut from each document first; its rest is placed online, and windows are written when full. When
+    the partition ends, those still open keep what they hold, and the emptiest of them are dealt out to fill the gaps."""
     from pyspark import TaskContext
 
     packer = SquaresPacker(width, TaskContext.get().partitionId() << 40)
@@ -67,10 +68,9 @@ def _pack(batches, path: str, width: int, end_id: int):
         out.clear()
         return batch
 
-    for part in text_slices(batches):
+    for part in text_slices(batches, limit=8 << 20):
         texts = [t or "" for t in part.column("text").to_pylist()]
-        for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):
-            ids = np.append(ids, np.array(end_id, dtype=ids.dtype))
+        for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts, end_id)):
             n = len(ids)
             whole = n - n % width
             for start in range(0, whole, width):
@@ -87,26 +87,43 @@ def _pack(batches, path: str, width: int, end_id: int):
         if len(out) >= 8192:
             yield flush()
     enc.rest()
-    rest = sorted(opened.values(), key=lambda held: -sum(len(p[2]) for p in held))
-    queue = [piece for held in rest for piece in held]
-    window = at = 0
-    for doc, start, ids, n in queue:
-        while len(ids):
-            if at == 0:
-                window = packer.new()
-            take = min(len(ids), width - at)
-            emit(window, at, (doc, start, ids[:take], n))
-            start, ids, at = start + take, ids[take:], (at + take) % width
+    for window, held in fill_gaps(opened, width):
+        at = 0
+        for piece in held:
+            emit(window, at, piece)
+            at += len(piece[2])
     yield flush()
 
 
+def fill_gaps(opened: dict[int, list[tuple]], width: int) -> list[tuple[int, list[tuple]]]:
+    """Windows with gaps over SLACK are filled, from the fullest on, with the pieces of the emptiest, cut where a gap
+    ends; no other piece moves. At most one of the windows left has a greater gap."""
+    size = {w: sum(len(p[2]) for p in held) for w, held in opened.items()}
+    order = sorted(opened, key=lambda w: (-size[w], w))
+    i, j = 0, len(order) - 1
+    while i < j:
+        gap = width - size[order[i]]
+        if gap <= SLACK * width:
+            i += 1
+            continue
+        doc, start, ids, n = opened[order[j]].pop()
+        opened[order[i]].append((doc, start, ids[:gap], n))
+        size[order[i]] += min(gap, len(ids))
+        if len(ids) > gap:
+            opened[order[j]].append((doc, start + gap, ids[gap:], n))
+        if not opened[order[j]]:
+            j -= 1
+    return [(w, opened[w]) for w in order[: j + 1]]
+
+
 def pack(docs: DataFrame, path: str | None = None, width: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces of all documents in windows of at most `width` ids; one row per piece.
 
     A document's ids are those of the tokenizer in `path`, then end_id; a null or empty text is end_id alone, rows
     with the same doc_id are packed as documents of their own and a null doc_id stays null. Columns other than
     doc_id and text are not read. Every partition of the input packs for itself, without a shuffle, so windows are
-    whole when one is computed again; each may leave one short window. sequence_id is unique, not dense.
+    whole when one is computed again; each may leave one window that is more than SLACK short. sequence_id is unique, not
+    dense.
     An empty table gives no rows. A window is padded to `width`, except where its length is a power of two.
     """
     path = path or default_path()

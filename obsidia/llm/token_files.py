@@ -24,7 +24,8 @@ from obsidia.llm.subwords import default_path, encoder
 MAGIC = b"TOKBLK01"
 HEAD = struct.Struct("<8s32sBI")
 BLOCK_BYTES = 4 << 20
-#: The dictionary is trained on at most so many documents, the least by a hash of their id, and so many ids of each.
+#: The dictionary is trained on at most so many documents, the least by a hash of their id, and so many ids of each, from
+#: a place that depends on the hash.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 2000, 64 << 10
 BLOCKS = "part int, block int, doc_ids array<long>, n_tokens long, payload binary"
 DOCS = "part int, block int, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -61,7 +62,8 @@ class BlockReader:
 def train(docs: DataFrame, path: str) -> bytes:
     """A dictionary of serialized id arrays; empty bytes if the sample is too small to train on."""
     pick = docs.where("text is not null and text <> ''").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(pick.select("doc_id").distinct()), "doc_id").select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    from_ = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 8 * SAMPLE_IDS, F.lit(0)) + 1).cast("int") + 1
+    sample = docs.join(F.broadcast(pick.select("doc_id").distinct()), "doc_id").select(F.substr("text", from_, F.lit(8 * SAMPLE_IDS)).alias("text"))
     rows = [r[0] for r in sample.limit(2 * SAMPLE_DOCS).collect() if r[0]]
     arrays = [a[:SAMPLE_IDS].tobytes() for a in encoder(path).encode(rows)]
     try:
@@ -84,11 +86,11 @@ def _write(batches, path, end_id, dictionary):
         return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
     held = 0
-    for piece in text_slices(batches):
-        for doc, a in zip(piece.column("doc_id").to_pylist(), enc.encode([t or "" for t in piece.column("text").to_pylist()])):
+    for piece in text_slices(batches, limit=8 << 20):
+        for doc, a in zip(piece.column("doc_id").to_pylist(), enc.encode([t or "" for t in piece.column("text").to_pylist()], end_id)):
             ids.append(doc)
-            arrays.append(np.append(a, np.array(end_id, dtype=a.dtype)))
-            held += arrays[-1].nbytes
+            arrays.append(a)
+            held += a.nbytes
             if held >= BLOCK_BYTES:
                 yield flush()
                 block, held, ids, arrays = block + 1, 0, [], []

@@ -1,8 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
-import json
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -173,9 +173,8 @@ def test_encoder_equals_tokenizer(monkeypatch, cache, idle):
     monkeypatch.setattr(subwords, "IDLE", idle)
     path = subwords.default_path()
     ours, whole = subwords.Encoder(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = np.random.default_rng(6)
-    parts = [*"ab.,;!?'# \n\t\r", "  ", "word", "Straße", "naïve", "don't", "12", "日本", "é", "\u00a0", "<|endoftext|>", "x" * 30]
+    parts = [*"ab.,;!?'# \n\t\r", "  ", "word", "Straße", "naïve", "don't", "12", "日本", "é", "\u00a0", "\u2009", "\x85", "<|endoftext|>", "x" * 30]
     texts = ["", " ", "\n", *(" ".join(f"w{i}x{j}" for j in range(90)) for i in range(20)), *("".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(400))]
     for at in range(0, len(texts), 50):
         for text, ids in zip(texts[at : at + 50], ours.encode(texts[at : at + 50])):
@@ -184,9 +183,72 @@ def test_encoder_equals_tokenizer(monkeypatch, cache, idle):
         assert len(ours.known) <= max(idle, 1)
 
 
-def test_token_files(docs, none):
+def tokens_by_library(texts, end_id):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(subwords.default_path())
+    return [whole.encode(t or "", add_special_tokens=False).ids + [end_id] for t in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def special_rows():
+    rng = np.random.default_rng(12)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", *(" ".join(f"word{k}" for k in rng.integers(0, 500, n)) for n in rng.integers(1, 900, 60)), "x" * 50_000, None, ""]
+    return [(i, t, "en", "a") for i, t in enumerate(texts)]
+
+
+def test_token_files(spark, docs, none, monkeypatch):
     rows = token_files.token_files(docs).collect()
     assert len(rows) == docs.count() and sorted(r.start for r in rows)[0] == 0 and token_files.token_files(none).count() == 0
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 5000)
+    given = special_rows()
+    start, want = 0, []
+    for (i, *_), ids in zip(given, tokens_by_library([r[1] for r in given], 2)):
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, token_files.token_files(frame(spark, given).repartition(5)).collect())) == want
+    payload = token_files.pack_block(b"", [np.array([1, 2], dtype="<u2")], __import__("zstandard").ZstdCompressor())
+    with pytest.raises(ValueError):
+        token_files.BlockReader(b"another dictionary", payload)
+
+
+def test_packing_equals_library(spark):
+    """Ids, crc, pieces of a document and windows, from several partitions."""
+    given = special_rows()
+    want = dict(zip([r[0] for r in given], tokens_by_library([r[1] for r in given], 0)))
+    pieces = packing.pack(frame(spark, given).repartition(3), width=128).collect()
+    at, filled = {}, {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == at.get(p.doc_id, 0) and p.doc_tokens == len(want[p.doc_id])
+        at[p.doc_id] = p.start + p.length
+        assert p.ids_crc32 == crc(want[p.doc_id][p.start : at[p.doc_id]])
+    assert at == {i: len(ids) for i, ids in want.items()}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == filled.get(p.sequence_id, 0)
+        filled[p.sequence_id] = p.offset + p.length
+    assert max(filled.values()) <= 128 and sum(n < 128 * (1 - packing.SLACK) for n in filled.values()) <= 3
+
+
+def test_squares_rule():
+    """The level chosen is the one after which the sum of squares is least, the fullest of equals."""
+    rng = np.random.default_rng(2)
+    packer = packing.SquaresPacker(32, 0)
+    for size in rng.integers(1, 32, 400).tolist():
+        before = packer.count.copy()
+
+        def after(level):
+            c = before.copy()
+            c[level] -= level > 0
+            if level + size < 32:
+                c[level + size] += 1
+            return int((c[1:32] ** 2).sum())
+
+        options = [h for h in range(32) if h + size <= 32 and (h == 0 or before[h])]
+        _, offset = packer.place(size)
+        assert offset == max(h for h in options if after(h) == min(map(after, options)))
 
 
 def test_language(docs, none):
