@@ -128,7 +128,8 @@ def _disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select("text", F.xxhash64("text").alias("copy")).where("text is not null")
     held = store(docs.mapInArrow(_held, "copy long, entities array<string>, words array<string>").groupBy("copy").agg(F.any_value("entities").alias("entities"), F.any_value("words").alias("words")))
-    total = docs.agg(F.greatest(F.countDistinct("copy"), F.lit(1)).alias("n_docs"))
+    copies = docs.groupBy("copy").agg(F.count("*").alias("times"))
+    total = copies.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
     in_text = held.select("copy", F.explode("entities").alias("entity"))
     entities = store(_by_texts(in_text, "entity", "n_entity").crossJoin(F.broadcast(total)).where("n_docs > n_entity"))
     risky = "entity_set struct<n_entity:bigint,x0:bigint,x1:bigint>, term string, action string"
@@ -145,8 +146,11 @@ def _disclosing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     likely = (_share(F.col("n_near")) >= GENERALISE - 1e-9) & (_by_chance(F.col("n_near"), 0.9 * F.col("n_words")) <= math.log(CHANCE) + 1e-9)
     both = store(both.crossJoin(F.broadcast(n_words)).where(likely).drop("n_near", "n_words"))
     terms = store(near.join(hinted(store(both.select("term_set").distinct()), 64), "term_set", "left_semi").select("term", "term_set"))
-    corpus = docs.select("copy", F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
-    found = store(corpus.join(hinted(terms.select("term"), F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.countDistinct("copy").alias("n_term")))
+    # each row of a text counts as its share of them, so that counts are partial before the shuffle: sums round to whole texts
+    repeated = hinted(store(copies.where("times > 1")), 24)
+    corpus = docs.join(repeated, "copy", "left").select((1 / F.coalesce("times", F.lit(1))).alias("part"), F.explode(F.array_distinct(F.split("text", BREAK))).alias("term"))
+    counted = corpus.join(hinted(terms.select("term"), F.length("term") + 40), "term", "left_semi").groupBy("term").agg(F.sum("part").alias("n"))
+    found = store(counted.select("term", F.round("n").cast("long").alias("n_term")))
     known = corpus.agg(F.approx_count_distinct("term", 0.02).alias("n_words"))
     scored = both.join(terms.join(found, "term"), "term_set").crossJoin(F.broadcast(known)).withColumn("share", _share(F.col("n_term")))
     scored = scored.where((F.col("share") >= GENERALISE) & (_by_chance(F.col("n_term"), F.col("n_words")) <= math.log(CHANCE)))
@@ -174,7 +178,7 @@ def _spans(batches, redact):
         for doc, text, risky in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "risky"))):
             text = text or ""
             base = base_spans(text)
-            action = {r["term"]: r["action"] for r in risky or []}
+            action = {r["term"]: f"[{r['kind'].upper()} TERM]" if r["action"] == "generalise" else "" for r in risky or []}
             more = []
             if action:
                 more = [(m.start(), m.end(), "term") for m in _WORD.finditer(text) if m[0] in action and not any(a < m.end() and m.start() < b for a, b, _ in base)]
@@ -187,7 +191,7 @@ def _spans(batches, redact):
                 for a, b, kind in spans:
                     if b <= at:
                         continue
-                    mark = f"[{kind.upper()}]" if kind != "term" else {"generalise": "[TERM]", "remove": ""}[action[text[a:b]]]
+                    mark = f"[{kind.upper()}]" if kind != "term" else action[text[a:b]]
                     clean += [text[at : max(a, at)], mark]
                     at = b
                 clean = "".join([*clean, text[at:]])
@@ -206,7 +210,7 @@ def _entities(batches):
 
 def sanitise(docs: DataFrame, redact: bool = True) -> DataFrame:
     """Every row's spans, their numbers and, with redact, clean_text: base entities replaced by their kind, terms
-    generalised to [TERM] or removed.
+    generalised to the least kind of entity that they disclose, as in [EMAIL TERM], or removed.
 
     Null texts count as empty and have no spans; a null doc_id keeps its base spans but gets no terms; rows with
     the same doc_id share their terms; copies of a text count once as evidence; other columns are
@@ -215,13 +219,13 @@ def sanitise(docs: DataFrame, redact: bool = True) -> DataFrame:
     docs = docs.select("doc_id", "text")
     entities, risky = _disclosing(docs)
     if risky.isEmpty():
-        joined = docs.withColumn("risky", F.lit(None).cast("array<struct<term:string,action:string>>"))
+        joined = docs.withColumn("risky", F.lit(None).cast("array<struct<term:string,action:string,kind:string>>"))
     else:
         here = docs.mapInArrow(_entities, "doc_id long, entity string").join(hinted(entities, F.length("entity") + 60), "entity")
-        here = here.select("doc_id", "entity_set").distinct().join(hinted(risky, F.length("term") + 80), "entity_set")
-        terms = here.groupBy("doc_id", "term").agg(F.max("action").alias("action"))
-        terms = cut(terms.groupBy("doc_id").agg(F.collect_list(F.struct("term", "action")).alias("risky")))
-        joined = docs.join(hinted(terms, 48 + 64 * F.size("risky")), "doc_id", "left")
+        here = here.select("doc_id", "entity_set", F.substring_index("entity", ":", 1).alias("kind")).distinct().join(hinted(risky, F.length("term") + 80), "entity_set")
+        terms = here.groupBy("doc_id", "term").agg(F.max("action").alias("action"), F.min("kind").alias("kind"))
+        terms = cut(terms.groupBy("doc_id").agg(F.collect_list(F.struct("term", "action", "kind")).alias("risky")))
+        joined = docs.join(hinted(terms, 48 + 80 * F.size("risky")), "doc_id", "left")
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, clean_text string"
     return joined.select("doc_id", "text", "risky").mapInArrow(lambda it: _spans(it, redact), schema)
 
