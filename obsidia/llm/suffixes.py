@@ -185,8 +185,11 @@ def later_repeats(docs, starts, counts, contexts) -> tuple[np.ndarray, np.ndarra
     inside = offset < counts[own]
     run, doc, start = run[inside], docs[own][inside], (starts[own] + offset)[inside]
     order = np.lexsort((start, doc, run))
-    later = np.flatnonzero(np.diff(run[order], prepend=-1) == 0)
-    return doc[order][later], start[order][later]
+    run, doc, start = run[order], doc[order], start[order]
+    new = np.diff(run, prepend=-1) != 0
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc != doc[head]) | (start != start[head])  # a repeated row holds the very same string
+    return doc[later], start[later]
 
 
 def _contexts(batches):
@@ -255,10 +258,18 @@ def _merge(batches):
         yield pa.record_batch([batch.column("doc_id"), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "cuts"])
 
 
+def single_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the rows whose doc_id has one text, equal rows as often as they stand."""
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = keyed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    odd = store(texts.where("lo <> hi").select("doc_id"))
+    return keyed if odd.isEmpty() else keyed.join(hinted(odd, 16), "doc_id", "left_anti")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, cuts: starts and ends, in turn, of the byte runs of a document that strings of SPAN bytes cover which also
     start earlier, in a smaller doc_id or the same document."""
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    keyed = single_texts(docs)
     runs = keyed.mapInArrow(_runs, "key long, ctx long, doc_id long, at long")
     shared = store(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     runs = store(runs.join(shared, "key"))  # both grow with the corpus: never a broadcast by hint
@@ -268,10 +279,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = again.select("doc_id", start.alias("start"), (start + F.col("at").bitwiseAND(255) + SPAN - 1).alias("end"))
 
     several = store(firsts.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"))
-    differ = firsts.select("key", "first.doc_id", "first.at").join(hinted(several, 40), "key")
+    differ = firsts.select("key", "first.doc_id", "first.at").join(several, "key")
     wanted = store(differ.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("runs")))
-    # a doc_id with several texts has one here, as runs name no text
-    texts = keyed.join(hinted(wanted, 48 + 24 * F.size("runs")), "doc_id").select("doc_id", "text", "runs")
+    texts = keyed.join(wanted, "doc_id").select("doc_id", "text", "runs")
     found = texts.mapInArrow(_contexts, "key long, doc_id long, start long, n long, bytes binary")
     large = several.where(F.col("different") > LARGE).select("key")
     small = found.join(hinted(large, 16), "key", "left_anti")
@@ -306,12 +316,12 @@ def dedupe_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the bytes kept, of every row.
 
     Removed is each byte that a string of SPAN bytes covers which also starts earlier: in a document with a smaller id, or
-    before it in the same one. Strings are judged on the input. Null and empty texts have no bytes; a null doc_id
-    neither loses bytes nor takes others'; rows with the same id and text are one document. Bytes, not characters, are
-    cut, so a character may be split. Other columns are not read; an empty table gives no rows.
+    before it in the same one. Strings are judged on the input. Null and empty texts have no bytes; rows with a null doc_id,
+    or with a doc_id that has several texts, which no order tells apart, neither lose bytes nor take others'; equal rows are
+    one document, so each loses what one would. Bytes, not characters, are cut, so a character may be split. Other columns are not read; an empty table gives no rows.
     """
     cuts = store(repeated_spans(docs))
-    joined = docs.select("doc_id", "text").join(hinted(cuts, 48 + 8 * F.size("cuts")), "doc_id", "left")
+    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.select("doc_id", "text", "cuts").mapInArrow(lambda it: _cut(it, with_text), schema)
 

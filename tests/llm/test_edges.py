@@ -64,6 +64,29 @@ def test_suffixes(docs, none):
     assert rows[2].n_removed >= len(BASE) and suffixes.dedupe_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("large", [suffixes.LARGE, 1])
+def test_substrings_equal_brute_force(spark, monkeypatch, large):
+    """Texts dealt from phrases, equal rows, one id with two texts, segment borders and either path for large buckets."""
+    monkeypatch.setattr(suffixes, "LARGE", large)
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    rng = np.random.default_rng(9)
+    phrases = ["".join(rng.choice(list("abcdefgh äé"), n)) for n in rng.integers(50, 160, 8)]
+    rows = [(i, "".join(phrases[k] + ("" if rng.random() < 0.5 else "#") for k in rng.integers(0, 8, rng.integers(0, 12))), "en", "a") for i in range(50)]
+    rows += [rows[3], rows[4], (60, rows[5][1], "en", "a"), (60, "x" + rows[6][1], "en", "a")]
+    span, seen, want = suffixes.SPAN, set(), {}
+    for i, text in sorted({(r[0], r[1]) for r in rows}):
+        raw = text.encode()
+        gone = np.zeros(len(raw) + 1, dtype=bool)
+        for at in range(0 if i != 60 else len(raw), len(raw) - span + 1):
+            if raw[at : at + span] in seen:
+                gone[at : at + span] = True
+            seen.add(raw[at : at + span])
+        left = bytes(b for b, g in zip(raw, gone) if not g)
+        want[i, text] = (len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest())
+    got = suffixes.dedupe_substrings(frame(spark, rows).repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((r[0], *want[r[0], r[1]]) for r in rows)
+
+
 def test_suffix_array_sorts():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 40, 300):
