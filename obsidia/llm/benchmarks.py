@@ -11,7 +11,7 @@ have to see a 30-word item in 20,000 words, a Jaccard similarity near 0.001.)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidia.llm.common import BROADCAST_BYTES, cut, table
+from obsidia.llm.common import BROADCAST_BYTES, cut, hinted, store, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Words are runs of letters and digits, lower-cased.
@@ -30,35 +30,44 @@ def shingled(df: DataFrame, key: str) -> DataFrame:
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
-    """shingle, item_id, n (distinct shingles of the item), sketched (the shingle is one of the item's sketch)."""
-    sets = shingled(items, "item_id").select("item_id", F.array_distinct("s").alias("s"))
+    """item_id, s (distinct shingles), n (their number), sketch (the minima of the item's size partition), of items with words."""
+    sets = shingled(items, "item_id").where("s is not null").groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("s").cast("double"))))
-    least = F.floor((1 - THRESHOLD) * F.least(upper, F.size("s")) + 1e-9).cast("int") + 1
-    sets = sets.withColumn("order", F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))))
-    sets = sets.withColumn("sketch", F.transform(F.slice("order", 1, least), lambda e: e["x"]))
-    rows = sets.select("item_id", F.size("s").alias("n"), F.explode_outer("s").alias("shingle"), "sketch").where("shingle is not null")
-    return rows.select("shingle", "item_id", "n", F.array_contains("sketch", F.col("shingle")).alias("sketched"))
+    least = F.floor((1 - THRESHOLD) * upper + 1e-9).cast("int") + 1
+    order = F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
+    return sets.select("item_id", "s", F.size("s").alias("n"), F.transform(F.slice(order, 1, least), lambda e: e["x"]).alias("sketch"))
+
+
+def candidates(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """doc_id, item_id: the pairs in which the document holds a shingle of the item's sketch."""
+    rows = sketches.select(F.explode("sketch").alias("shingle"), "item_id")
+    size = rows.agg(F.sum(F.length("shingle") * 2 + 48)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        keys = F.broadcast(rows.groupBy("shingle").agg(F.collect_list("item_id").alias("items")))
+    else:  # many items: join them one by one, so that no list grows with the number of items that share a shingle
+        keys = rows.select("shingle", F.array("item_id").alias("items"))
+    # explode_outer: explode would have Spark filter on size(s) below, with the split inlined in every shingle
+    found = shingled(docs, "doc_id").select("doc_id", F.explode_outer("s").alias("shingle"))
+    return found.join(keys, "shingle").select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item: the pairs in which the document has at least THRESHOLD of the item's shingles.
 
+    Sketches find the candidate pairs; only these are verified, on all shingles of either side.
+
     Null ids and texts are in no pair; texts without words neither; an item or document of one to four words is one
-    shingle. Rows with the same doc_id count as one document, with the same item_id as one item each time (pairs stay
-    distinct). Extra columns are not read. Empty tables give no rows.
+    shingle. Rows with the same doc_id are one document, with the same item_id one item, which have the shingles of all
+    of them. Extra columns are not read. Empty tables give no rows.
     """
-    sketches = cut(item_sketches(items.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id"])))
-    keys = sketches.groupBy("shingle").agg(F.collect_list(F.struct("item_id", "n", "sketched")).alias("items"))
-    size = sketches.agg(F.sum(F.length("shingle") * 2 + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        keys = F.broadcast(keys)
-    else:  # many items: join them one by one, so that no list grows with the number of items that share a shingle
-        keys = sketches.select("shingle", F.array(F.struct("item_id", "n", "sketched")).alias("items"))
-    # explode_outer: explode would have Spark filter on size(s) below, with the split inlined in every shingle
-    found = shingled(docs.where("doc_id is not null"), "doc_id").select("doc_id", F.explode_outer("s").alias("shingle"))
-    hits = found.join(keys, "shingle").select("doc_id", "shingle", F.inline("items")).distinct()
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("sketched").alias("candidate"), F.max("n").alias("n_item"))
-    return pairs.where(F.col("candidate") & (F.col("n_shared") >= F.ceil(THRESHOLD * F.col("n_item") - 1e-9))).select("doc_id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    sketches = cut(item_sketches(items.where("item_id is not null").select("item_id", "text")))
+    pairs = store(candidates(docs, sketches))
+    held = docs.join(hinted(store(pairs.select("doc_id").distinct()), 16), "doc_id", "left_semi")
+    both = shingled(held, "doc_id").join(pairs, "doc_id").join(hinted(sketches.select("item_id", "n", F.col("s").alias("item_s")), 64 * (1 + F.size("item_s"))), "item_id")
+    both = both.select("doc_id", "item_id", "n", F.array_intersect("s", "item_s").alias("common"))
+    shared = both.groupBy("doc_id", "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("common")))).cast("long").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= F.ceil(THRESHOLD * F.col("n") - 1e-9)).select("doc_id", "item_id", "n_shared", F.col("n").cast("long").alias("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -324,6 +324,10 @@ def test_benchmarks(spark, docs, none):
     hit = frame(spark, [(50, BASE + " " + item.upper() + ", " + BASE, "en", "a"), (None, item, "en", "a")]).unionByName(docs)
     assert [(r.doc_id, r.item_id) for r in benchmarks.contamination(hit, items).collect()] == [(50, 1)]
     assert benchmarks.decontaminate(hit, items).count() == hit.count() - 1
+    words = item.split()
+    parts = frame(spark, [(70, " ".join(words[:10]), "en", "a"), (70, " ".join(words[6:]), "en", "a"), (71, " ".join(words[:10]), "en", "a")])
+    two = spark.createDataFrame([(5, " ".join(words[:12]), "x"), (5, " ".join(words[8:]), "y"), (6, BASE, "z")], "item_id long, text string, s string")
+    assert [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in benchmarks.contamination(parts, two).collect()] == [(70, 5, 15, 15)]
     assert benchmarks.contamination(none, items).count() == 0 and benchmarks.contamination(hit, items.limit(0)).count() == 0
 
 
