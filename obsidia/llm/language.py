@@ -48,8 +48,8 @@ _letters = None
 def _letter(codes: np.ndarray) -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(0x30000)])
-    return _letters[np.minimum(codes, 0x2FFFF)]
+        _letters = np.array([chr(i).isalpha() for i in range(0x110000)])
+    return _letters[np.minimum(codes, 0x10FFFF)]
 
 
 class Model:

@@ -1,18 +1,27 @@
 """Quality rules whose limits follow the corpus: quantile sketches per language and source instead of fixed cutoffs."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from obsidia.llm.common import cut, table, text_slices
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: feature -> the least distance from the upper quartile that counts as an outlier
-FEATURES = {"symbol_rate": 0.02, "upper_rate": 0.2, "mark_rate": 0.05, "stutter_rate": 0.1, "dup_line_rate": 0.3, "repeat_rate": 0.3, "mean_word": 4.0}
-#: Quartile distances beyond the upper quartile where a limit lies; groups under MIN_GROUP take the language's, then the corpus's.
+#: feature -> the least distance from a quartile that counts as an outlier where quartiles coincide
+FEATURES = {"symbol_rate": 0.02, "upper_rate": 0.1, "mark_rate": 0.05, "stutter_rate": 0.05, "dup_line_rate": 0.1, "repeat_rate": 0.1, "mean_word": 1.0}
+#: Features that may be too low as well.
+BOTH_SIDES = ("mean_word",)
+#: Quartile distances, the group's or the corpus's if greater, beyond a quartile where a limit lies; groups under MIN_GROUP
+#: take the language's quartiles, then the corpus's.
 SPREAD, MIN_GROUP = 4.0, 40
+#: Sketches count values in buckets whose bounds grow by this factor (values under LEAST in one): quantiles are exact but for
+#: 1 %, any two sketches merge by adding counts, and the same rows give the same sketch in whatever order they come.
+GAMMA, LEAST = 1.02, 1e-4
 SPACES = b" \t\n\x0b\x0c\r"
 BASE = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_letters long, n_marks long, n_stutters long"
 
@@ -90,41 +99,60 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"base_failed": failed, "symbol_rate": rate("n_symbols", "word_chars"), "upper_rate": rate("n_upper", "n_letters"), "mark_rate": rate("n_marks", "n_words"), "stutter_rate": rate("n_stutters", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_words") * 10, "repeat_rate": rate("n_repeat_words", "n_words"), "mean_word": rate("word_chars", "n_words")})
 
 
-def limits(rows: DataFrame) -> DataFrame:
-    """lang, source and a limit for each feature, from mergeable quantile sketches of the rows that pass the base rules.
+def sketches(rows: DataFrame) -> DataFrame:
+    """lang, source, feature, bucket, n: the quantile sketches of the rows that pass the base rules, counted before the shuffle."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in FEATURES))).alias("e")
+    bucket = F.when(F.col("e.v") < LEAST, F.lit(None)).otherwise(F.ceil(F.log(F.col("e.v")) / math.log(GAMMA)))
+    values = rows.where("not base_failed").select("lang", "source", each).select("lang", "source", "e.feature", bucket.cast("int").alias("bucket"))
+    return values.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
 
-    Sketches are built per language and source, with partial sketches before the shuffle, and merged to those of
-    languages and of the corpus, which stand in for groups under MIN_GROUP rows.
-    """
-    groups = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(f, F.lit(400)).alias(f) for f in FEATURES))
-    every = rows.select("lang", "source").distinct()
 
-    def merged(*keys):
-        return groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(f).alias(f) for f in FEATURES))
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """keys, feature, n, q25, q75 of sketches merged over all but keys."""
+    merged = sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
+    every = W.partitionBy(*keys, "feature")
+    below = merged.withColumn("total", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(every.orderBy(F.col("bucket").asc_nulls_first())))
+    value = F.coalesce(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)), F.lit(0.0))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
+    return below.groupBy(*keys, "feature").agg(F.max("total").alias("n"), at(0.25).alias("q25"), at(0.75).alias("q75"))
 
-    def limit(f):
-        quantile = lambda t: [F.kll_sketch_get_quantile_double(F.col(f"{t}.{f}"), F.lit(q)) for q in (0.25, 0.75)]
-        bound = lambda t: (lambda a, b: b + F.greatest(SPREAD * (b - a), F.lit(FEATURES[f])))(*quantile(t))
-        return F.when(F.col("g.n") >= MIN_GROUP, bound("g")).when(F.col("l.n") >= MIN_GROUP, bound("l")).otherwise(bound("c")).alias(f"limit_{f}")
 
-    # one row of corpus sketches, joined by a constant
-    corpus = merged().withColumn("one", F.lit(1))
-    joined = every.withColumn("one", F.lit(1)).alias("e").join(groups.alias("g"), F.col("e.lang").eqNullSafe(F.col("g.lang")) & F.col("e.source").eqNullSafe(F.col("g.source")), "left")
-    joined = joined.join(merged("lang").alias("l"), F.col("e.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(corpus).alias("c"), F.col("e.one") == F.col("c.one"), "left")
-    return joined.select("e.lang", "e.source", *map(limit, FEATURES))
+def limits(rows: DataFrame) -> DataFrame:
+    """lang, source and, for each feature, its least and greatest value that is no outlier.
+
+    Sketches are built per language and source and merged to those of languages and of the corpus, which stand in for
+    groups under MIN_GROUP rows.
+    """
+    sketch = cut(sketches(rows))
+    floor = F.element_at(F.create_map(*(F.lit(x) for pair in FEATURES.items() for x in pair)), F.col("feature"))
+    corpus = quartiles(sketch).select("feature", F.col("q25").alias("c25"), F.col("q75").alias("c75"), floor.alias("floor"))
+    by_lang = quartiles(sketch, "lang").select("lang", "feature", F.col("n").alias("ln"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
+    group = quartiles(sketch, "lang", "source")
+    # at most a row for each feature: the join by feature alone is with len(FEATURES) rows
+    every = rows.select("lang", "source").distinct().withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
+    joined = every.alias("e").join(group.alias("g"), F.col("e.lang").eqNullSafe(F.col("g.lang")) & F.col("e.source").eqNullSafe(F.col("g.source")) & (F.col("e.feature") == F.col("g.feature")), "left")
+    joined = joined.join(by_lang.alias("l"), F.col("e.lang").eqNullSafe(F.col("l.lang")) & (F.col("e.feature") == F.col("l.feature")), "left")
+    pick = lambda q: F.when(F.col("g.n") >= MIN_GROUP, F.col(f"g.q{q}")).when(F.col("ln") >= MIN_GROUP, F.col(f"l{q}")).otherwise(F.col(f"c{q}"))
+    joined = joined.select("e.lang", "e.source", "e.feature", "floor", pick(25).alias("lo"), pick(75).alias("hi"), "c25", "c75")
+    room = F.greatest(SPREAD * (F.col("hi") - F.col("lo")), SPREAD * (F.col("c75") - F.col("c25")), "floor")
+    least = lambda f: F.max(F.when(F.col("feature") == f, F.col("lo") - room)).alias(f"least_{f}")
+    most = lambda f: F.max(F.when(F.col("feature") == f, F.col("hi") + room)).alias(f"limit_{f}")
+    return joined.groupBy("lang", "source").agg(*map(most, FEATURES), *map(least, BOTH_SIDES))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Every row with its measures, base_failed, the first rule that it breaks (`reason`, null if none) and kept.
 
-    A row is kept if it passes the base rules and no feature lies above the limit of its language and source. Null
+    A row is kept if it passes the base rules and no feature lies beyond the limits of its language and source. Equal
+    tables give equal results, whatever their partitions. Null
     and empty texts have no words and fail; null languages and sources are groups of their own; rows with equal
     ids are judged each; other columns are not read; an empty table gives no rows.
     """
     rows = cut(measures(docs))
     joined = rows.alias("r").join(limits(rows).alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source")), "left")
     above = [F.when(F.col(f"r.{f}") > F.col(f"t.limit_{f}"), F.lit(f)) for f in FEATURES]
-    reason = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *above)
+    below = [F.when(F.col(f"r.{f}") < F.col(f"t.least_{f}"), F.lit(f)) for f in BOTH_SIDES]
+    reason = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *above, *below)
     return joined.select("r.*", reason.alias("reason"), reason.isNull().alias("kept"))
 
 

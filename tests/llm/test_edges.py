@@ -58,6 +58,47 @@ def test_quality(docs, none):
     assert rows[8].n_repeat_words > 200 and quality.quality(none).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Base columns by the contract's words; limits by sorted values; equal results from other partitions."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(240):
+        lang, source = ("en", "de", None)[i % 3], f"s{i % 2}"
+        words = ["".join(rng.choice(list("abcdeß"), rng.integers(2, 8))) for _ in range(rng.integers(15, 80))]
+        if i % 17 == 0:
+            words += words[:12]
+        if i % 40 == 7:
+            words = [w.upper() + "!!" for w in words]
+        rows.append((i, "".join(w + rng.choice([" ", "\n", "\t ", " \n\n"]) for w in words) + "#" * (i % 4), lang, source))
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        places = {}
+        for at in range(len(words) - 7):
+            places.setdefault(tuple(words[at : at + 8]), []).append(at)
+        repeated = {at + k for found in places.values() if len(found) > 1 for at in found for k in range(8)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(repeated))
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(words) < 20 or 100 * len(repeated) > 30 * len(words))
+    ok = [r for r in got.values() if not r.base_failed]
+    quartile = lambda some, f, q: sorted(r[f] for r in some)[max(0, -(-len(some) * q // 4) - 1)]
+    for r in ok:
+        group = [x for x in ok if (x.lang, x.source) == (r.lang, r.source)]
+        group = group if len(group) >= quality.MIN_GROUP else [x for x in ok if x.lang == r.lang]
+        beyond = []
+        for f, floor in quality.FEATURES.items():
+            lo, hi, wide = quartile(group, f, 1), quartile(group, f, 3), quartile(ok, f, 3) - quartile(ok, f, 1)
+            room = max(4 * (hi - lo), 4 * wide, floor)
+            beyond.append((r[f] - hi) / room)
+            beyond.append((lo - r[f]) / room if f in quality.BOTH_SIDES else 0)
+        assert abs(max(beyond) - 1) < 0.1 or r.kept == (max(beyond) <= 1)
+    assert {r.reason for r in got.values()} >= {None, "base", "upper_rate"}
+    again = quality.quality(frame(spark, rows[::-1]).repartition(7)).collect()
+    assert {r.doc_id: (r.kept, r.reason) for r in again} == {i: (r.kept, r.reason) for i, r in got.items()}
+
+
 def test_suffixes(docs, none):
     rows = {r.doc_id: r for r in suffixes.dedupe_substrings(docs).collect()}
     assert rows[3].n_bytes == 0 and rows[7].n_removed == 299_999 and rows[1].n_removed == 0
@@ -280,6 +321,16 @@ def test_language(docs, none):
     assert rows[3].lang_pred == rows[4].lang_pred == rows[10].lang_pred == "und" and rows[8].lang_pred in ("de", "en")
     assert language.identify(none, language.train(none)).count() == 0
     assert language.keep_identified(docs, model, 0.0).columns == docs.columns
+    far = frame(docs.sparkSession, [(90, "\U00030000", "en", "a"), (91, "12 \u2014", "en", "a")])
+    assert {r.doc_id: r.lang_pred == "und" for r in language.identify(far, model).collect()} == {90: False, 91: True}
+
+
+def test_language_held_out_accuracy(spark):
+    """Held-out documents of four languages of the given tables, by rows that training doesn't see."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    rows = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
 def test_near_duplicates(docs, none):
