@@ -26,8 +26,8 @@ def feature_moments(obs: DataFrame, counts: DataFrame, by: str | None = None) ->
 def variance_trend(moments: DataFrame, by: str, least: int = 20) -> DataFrame:
     """moments with reg_std: the root of the variance that a parabola of log10 variance over log10 mean gives.
 
-    The parabola is fitted by power sums over the features that vary, if a group has `least` of them; constant ones
-    keep reg_std 1.
+    The parabola is fitted by power sums over the features that vary, of which a group must have `least`, else the query
+    fails; constant ones keep reg_std 1.
     """
     fit = (F.col("variance") > 0) & (F.col("mean") > 0)
     x, y = F.log10(F.greatest("mean", F.lit(1e-12))), F.log10(F.greatest("variance", F.lit(1e-12)))
@@ -37,7 +37,8 @@ def variance_trend(moments: DataFrame, by: str, least: int = 20) -> DataFrame:
     det = lambda a, b, c, d, e, f, g, h, i: a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
     s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
     base = det(s0, s1, s2, s1, s2, s3, s2, s3, s4)
-    coef = s.where(F.col("s0") >= least).select(by, (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / base).alias("c0"), (det(s0, t0, s2, s1, t1, s3, s2, t2, s4) / base).alias("c1"), (det(s0, s1, t0, s1, s2, t1, s2, s3, t2) / base).alias("c2"))
+    enough = F.when(F.col("s0") < least, F.raise_error(F.concat(F.lit("too few features vary in "), F.col(by).cast("string"))).cast("double")).otherwise(base)
+    coef = s.withColumn("base", enough).select(by, (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / F.col("base")).alias("c0"), (det(s0, t0, s2, s1, t1, s3, s2, t2, s4) / F.col("base")).alias("c1"), (det(s0, s1, t0, s1, s2, t1, s2, s3, t2) / F.col("base")).alias("c2"))
     out = p.join(coef, by)
     fitted = F.when(F.col("fit"), F.col("c0") + F.col("c1") * F.col("x") + F.col("c2") * F.col("x") ** 2).otherwise(0.0)
     return out.withColumn("reg_std", F.sqrt(F.pow(F.lit(10.0), fitted))).drop("x", "y", "fit", "c0", "c1", "c2")

@@ -115,12 +115,13 @@ def dose_merge(rows: DataFrame) -> DataFrame:
 
 
 def disentanglement(rows: DataFrame) -> DataFrame:
-    """1 - var(rest) / var(difference), in [0, 1], where the rest is what the means of population and drug leave."""
+    """1 - var(rest) / var(difference), in [0, 1], where the rest is what the means of population and drug leave; null
+    under three (population, drug) rows."""
     d = rows.select("population", "drug", "feature_id", (F.col("observed") - F.col("control")).alias("delta"))
     grand = F.avg("delta").over(W.partitionBy("feature_id"))
     rest = F.col("delta") + grand - F.avg("delta").over(W.partitionBy("feature_id", "population")) - F.avg("delta").over(W.partitionBy("feature_id", "drug"))
-    out = d.withColumn("rest", rest).agg(F.var_pop("rest").alias("a"), F.var_pop("delta").alias("b"))
-    return out.select(F.when(F.col("b") >= 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("a") / F.col("b")))).alias("disentanglement"))
+    out = d.withColumn("rest", rest).agg(F.var_pop("rest").alias("a"), F.var_pop("delta").alias("b"), F.count_distinct("population", "drug").alias("n"))
+    return out.select(F.when((F.col("b") >= 1e-12) & (F.col("n") >= 3), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("a") / F.col("b")))).alias("disentanglement"))
 
 
 def biological(rows: DataFrame) -> DataFrame:
@@ -145,12 +146,12 @@ def discrimination(rows: DataFrame) -> DataFrame:
 
 def negative_condition(conditions: DataFrame) -> DataFrame:
     """For each condition the tier and the number of its best negatives: 0 same drug in another population, 1 another
-    population, 2 another condition. Counted by keys; no pairs of conditions are built."""
+    population, 2 another condition, or itself where it is the only one. Counted by keys; no pairs of conditions are built."""
     c = conditions.select("condition_id", "population", "drug")
     total = c.agg(F.count("*").alias("n"))
     by_pop = c.groupBy("population").agg(F.count("*").alias("n_pop"))
     by_drug = c.groupBy("drug").agg(F.count("*").alias("n_drug"))
     by_both = c.groupBy("population", "drug").agg(F.count("*").alias("n_both"))
     j = c.join(by_pop, "population").join(by_drug, "drug").join(by_both, ["population", "drug"]).join(F.broadcast(total))
-    same, other, rest = F.col("n_drug") - F.col("n_both"), F.col("n") - F.col("n_pop"), F.col("n") - 1
+    same, other, rest = F.col("n_drug") - F.col("n_both"), F.col("n") - F.col("n_pop"), F.greatest(F.col("n") - 1, F.lit(1))
     return j.select("condition_id", F.when(same > 0, 0).when(other > 0, 1).otherwise(2).alias("tier"), F.when(same > 0, same).when(other > 0, other).otherwise(rest).alias("n_negatives"))

@@ -275,11 +275,6 @@ def split_combination(spark, d):
     return _part_sums(splits.split_combination(dt.observations(spark, d), 1, disjoint=False))
 
 
-@query("select cast(null as bigint) as obs_id, cast(null as bigint) as n_parts from obs where false")
-def check_split_disjoint(spark, d):
-    return splits.overlapping_rows(splits.split_combination(dt.observations(spark, d), 1, disjoint=False))
-
-
 @query("""pairs as (select distinct l.l_orderkey as o, cast(substr(p.p_brand, 7) as int) as b from lineitem l join part p on l.l_partkey = p.p_partkey),
 e as (select x.b as src, y.b as dst, cast(count(*) as double) as weight from pairs x join pairs y on x.o = y.o and x.b < y.b group by all having count(*) * 100 > 700)
 select src, dst, weight * 100 / 1000 as weight from e union all select dst, src, weight * 100 / 1000 from e""")
@@ -297,10 +292,10 @@ def parse_treatment(spark, d):
     return text.select("obs_id", F.col("t.drug").alias("drug_name"), F.col("t.dose").alias("dose"), F.col("t.unit").alias("unit"))
 
 
-@query("""select drug, cast(count(*) as bigint) as n, len(list_filter([0.0, 0.2, 0.5, 2.0], lambda b: b < dose)) as bucket, round(log10(dose + 1), 6) as log_dose from obs group by drug, dose""")
+@query("""select drug, cast(count(*) as bigint) as n, len(list_filter([0.21, 0.41, 0.71, 1.01, 1.51, 3.1, 4.1, 7.1, 12.1], lambda b: b < dose)) as bucket, round(log10(dose + 1), 6) as log_dose from obs group by drug, dose""")
 def dose_buckets(spark, d):
     obs = dt.observations(spark, d).groupBy("drug", "dose").agg(F.count("*").alias("n"))
-    return obs.select("drug", "n", tx.dose_bucket("dose", [0.0, 0.2, 0.5, 2.0]).cast("long").alias("bucket"), F.round(tx.dose_log("dose"), 6).alias("log_dose"))
+    return obs.select("drug", "n", tx.dose_bucket("dose", tx.DOSE_BOUNDS).cast("long").alias("bucket"), F.round(tx.dose_log("dose"), 6).alias("log_dose"))
 
 
 @query(f"""{PREDICTED}, p as (select population, drug, dose, predicted, row_number() over (partition by population, drug, dose order by predicted) as place from pred),
@@ -356,3 +351,4 @@ def population_rollup(spark, d):
 @query("select population, drug, dose, match_group, count(*) as n_cells from obs where not is_control group by all")
 def condition_group_census(spark, d):
     return dt.observations(spark, d).where("not is_control").groupBy(*KEYS, "match_group").agg(F.count("*").alias("n_cells"))
+from obsidia import queries_tables  # noqa: E402, F401  registers the queries of tables, cleaning and checks
