@@ -75,10 +75,13 @@ def drop(scratch: list) -> None:
     scratch.clear()
 
 
-def hinted(df: DataFrame, row_bytes) -> DataFrame:
-    """df with a broadcast hint if its rows, of row_bytes each (a number or a column), are measured to fit."""
+def hinted(df: DataFrame, row_bytes, beyond: str | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows, of row_bytes each (a number or a column), are measured to fit.
+
+    beyond, if given, is the hint of larger ones.
+    """
     size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint(beyond) if beyond else df
 
 
 def text_slices(batches, column: str = "text", limit: int = 2 << 20):
@@ -175,7 +178,8 @@ def _shared(buckets: DataFrame, scratch: list) -> DataFrame:
         return store(buckets.join(heads.select("key", "n"), "key"), scratch)
     # a bucket of two is known from its ends
     two = heads.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("id"), "key", "n")
-    rest = hinted(store(heads.where("n > 2").select("key", "n"), scratch), 24)
+    # the rows of all buckets need no sorting to meet the few that are left
+    rest = hinted(store(heads.where("n > 2").select("key", "n"), scratch), 24, "shuffle_hash")
     return store(two.unionByName(buckets.join(rest, "key")), scratch)
 
 
