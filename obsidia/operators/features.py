@@ -94,3 +94,35 @@ def group_moments(obs: DataFrame, values: DataFrame, keys) -> DataFrame:
     out = sizes.join(F.broadcast(vocabulary)).join(sums, [*keys, "feature_id"], "left").fillna(0.0, ["s", "q"])
     n, mean = F.col("n_cells"), F.col("s") / F.col("n_cells")
     return out.select(*keys, "feature_id", "n_cells", mean.alias("mean"), F.when(n > 1, F.greatest((F.col("q") - n * mean * mean) / (n - 1), F.lit(0.0))).otherwise(0.0).alias("variance"))
+
+
+def expression_bins(values: DataFrame, bins: int) -> DataFrame:
+    """place, boundary: 0 and then bins - 2 quantiles of the positive values, evenly spaced from the least to the greatest.
+
+    Quantiles are exact, so values should be those of a sample of bounded size, as `even_sample` gives it.
+    """
+    if bins < 4:
+        raise ValueError("4 bins or more")
+    at = [i / (bins - 3) for i in range(bins - 2)]
+    cuts = values.where("value > 0").agg(F.percentile("value", F.array(*map(F.lit, at))).alias("q")).where("q is not null")
+    return cuts.select(F.posexplode(F.concat(F.array(F.lit(0.0)), "q")).alias("place", "boundary"))
+
+
+def first_components(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """vectors (an array column) with pc1 and pc2, the coordinates on the two directions of greatest variance, centred.
+
+    Each direction points to where its largest weight is positive. Only the covariance, of the width squared, and the
+    directions are held at once. Null vectors are left out.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    held = vectors.where(F.col(column).isNotNull()).withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
+    pc = PCA(k=2, inputCol="_v", outputCol="_pc").fit(held).pc.toArray().copy()
+    for k in range(2):
+        if pc[abs(pc[:, k]).argmax(), k] < 0:
+            pc[:, k] *= -1
+    dot = lambda k: F.aggregate(F.zip_with(F.col(column).cast("array<double>"), F.array(*(F.lit(float(x)) for x in pc[:, k])), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    raw = held.drop("_v").withColumns({"pc1": dot(0), "pc2": dot(1)})
+    mean = raw.agg(F.avg("pc1").alias("_m1"), F.avg("pc2").alias("_m2"))
+    return raw.join(F.broadcast(mean)).withColumns({"pc1": F.col("pc1") - F.col("_m1"), "pc2": F.col("pc2") - F.col("_m2")}).drop("_m1", "_m2")

@@ -130,15 +130,18 @@ def biological(rows: DataFrame) -> DataFrame:
     return mean.groupBy("population").agg(F.corr("p", "o").alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
 
 
-def discrimination(rows: DataFrame) -> DataFrame:
-    """Per population 1 - 2 * mean(rank / n): rank counts the observed vectors nearer (Euclidean) to a prediction than its own.
+def discrimination(rows: DataFrame, distance: str = "euclidean") -> DataFrame:
+    """Per population 1 - 2 * mean(rank / n): rank counts the observed vectors nearer to a prediction than its own.
 
-    Pairs are formed within a population, between conditions: their number is that of conditions squared, not observations.
+    distance is euclidean or cityblock. Pairs are formed within a population, between conditions: their number is that of
+    conditions squared, not observations.
     """
+    apart = F.col("predicted") - F.col("observed")
+    part = {"euclidean": apart * apart, "cityblock": F.abs(apart)}[distance]
     key = F.concat_ws("|", "drug", F.col("dose").cast("string"))
     p = rows.select("population", key.alias("i"), "feature_id", "predicted")
     o = rows.select("population", key.alias("j"), "feature_id", "observed")
-    d = p.join(o, ["population", "feature_id"]).groupBy("population", "i", "j").agg(F.sum((F.col("predicted") - F.col("observed")) ** 2).alias("d"))
+    d = p.join(o, ["population", "feature_id"]).groupBy("population", "i", "j").agg(F.sum(part).alias("d"))
     own = d.where("i = j").select("population", "i", F.col("d").alias("own"))
     ranks = d.join(own, ["population", "i"]).groupBy("population", "i").agg(F.count_if(F.col("d") < F.col("own") - 1e-12).alias("rank"), F.count("*").alias("n"))
     return ranks.groupBy("population").agg((1 - 2 * F.avg(F.col("rank") / F.col("n"))).alias("pds"))

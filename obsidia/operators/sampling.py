@@ -42,3 +42,35 @@ def dense_vector(values: DataFrame, selected: DataFrame) -> DataFrame:
     n = selected.count()
     held = values.join(selected, "feature_id").groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
     return held.select("obs_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit(0.0))).alias("vector"))
+
+
+def even_sample(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """Of each group at most `most` (2 or more) rows at evenly spaced places in the order of `order`, the first and the last
+    included; smaller groups stay whole. Equal values of order stand in any order."""
+    if most < 2:
+        raise ValueError("an even sample holds 2 rows or more")
+    by = W.partitionBy(*keys)
+    placed = rows.withColumn("_place", F.row_number().over(by.orderBy(order)).cast("long") - 1).withColumn("_n", F.count("*").over(by))
+    step = F.expr(f"(_place * {most - 1} + _n - 2) div greatest(_n - 1, 1)")
+    hit = F.col("_place") == F.expr(f"(_step * (_n - 1)) div {most - 1}")
+    return placed.withColumn("_step", step).where((F.col("_n") <= most) | hit).drop("_place", "_n", "_step")
+
+
+def abundance_sample(conditions: DataFrame, keys: list[str], n_draws: int, salt: str) -> DataFrame:
+    """draw (from 0), keys: conditions drawn with replacement, each in proportion to n_cells.
+
+    A draw is a place, by a hash of salt and its number, among all cells laid out by condition. Conditions and draws meet
+    by equal stretches of that line, about as many as there are conditions, so no draw is compared with all conditions.
+    Only the running sum goes over the whole condition table. Conditions without cells are never drawn.
+    """
+    held = conditions.where("n_cells > 0").select(*keys, F.col("n_cells").cast("long").alias("n_cells"))
+    size = held.agg(F.sum("n_cells").alias("total"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        raise ValueError("no condition has cells")
+    total, width = size["total"], -(-size["total"] // size["n"])
+    laid = held.withColumn("end", F.sum("n_cells").over(W.orderBy(*keys))).withColumn("start", F.col("end") - F.col("n_cells"))
+    laid = laid.withColumn("stretch", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
+    digest = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("id").cast("string")), 256)
+    draws = conditions.sparkSession.range(n_draws).withColumn("at", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % total)
+    draws = draws.select(F.col("id").alias("draw"), "at", F.expr(f"at div {width}").alias("stretch"))
+    return draws.join(laid, "stretch").where("at >= start and at < end").select("draw", *keys)

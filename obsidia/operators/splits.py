@@ -70,3 +70,26 @@ def split_counts(parts: DataFrame) -> DataFrame:
 def overlapping_rows(parts: DataFrame) -> DataFrame:
     """Observations in more than one part: the violations of disjointness."""
     return parts.groupBy("obs_id").agg(F.count_distinct("part").alias("n_parts")).where("n_parts > 1")
+
+
+def split_seen_components(obs: DataFrame, internal_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """obs_id, population, components and part: single-component conditions train, longer ones are held out.
+
+    obs: obs_id, population, components (sorted array). Of a single-component condition the first
+    floor(n * (1 - internal_fraction)) observations by a seeded order are `train`, the rest `internal`. A combination is
+    `both_seen`, `one_seen` or `both_unseen` as all, some or none of its components are known from single ones. Rows
+    without components are left out. The fraction may be 0.
+    """
+    if not 0 <= internal_fraction < 1:
+        raise ValueError("the internal fraction is from 0 to under 1")
+    rows = obs.select("obs_id", "population", "components")
+    single, several = rows.where(F.size("components") == 1), rows.where(F.size("components") > 1)
+    by = W.partitionBy("population", "components")
+    rank = F.row_number().over(by.orderBy(sample_order("obs_id", seed), "obs_id"))
+    trains = rank <= F.floor(F.count("*").over(by) * (1 - internal_fraction) + 1e-9)
+    one = single.withColumn("part", F.when(trains, "train").otherwise("internal"))
+    seen = single.select(F.get("components", 0).alias("c")).distinct().withColumn("known", F.lit(1))
+    kinds = several.select("components").distinct().withColumn("c", F.explode("components")).join(seen, "c", "left")
+    kinds = kinds.groupBy("components").agg(F.count("known").alias("k"), F.count("*").alias("n"))
+    label = F.when(F.col("k") == F.col("n"), "both_seen").when(F.col("k") == 0, "both_unseen").otherwise("one_seen")
+    return one.unionByName(several.join(kinds.select("components", label.alias("part")), "components").select(*rows.columns, "part"))

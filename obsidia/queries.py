@@ -351,4 +351,4 @@ def population_rollup(spark, d):
 @query("select population, drug, dose, match_group, count(*) as n_cells from obs where not is_control group by all")
 def condition_group_census(spark, d):
     return dt.observations(spark, d).where("not is_control").groupBy(*KEYS, "match_group").agg(F.count("*").alias("n_cells"))
-from obsidia import queries_tables  # noqa: E402, F401  registers the queries of tables, cleaning and checks
+from obsidia import queries_graphs, queries_tables  # noqa: E402, F401  register the queries of the other modules

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsidia.functions import text as tx
-from obsidia.operators import checks, cleaning, features, responses, sampling, splits, summaries
+from obsidia.operators import checks, cleaning, features, graph, responses, sampling, splits, summaries
 from obsidia.sources import sparse
 
 
@@ -117,3 +117,62 @@ def test_planted_signal(spark):
     obs = spark.createDataFrame(of, "obs_id long, population string, match_group string, drug string, dose double, is_control boolean")
     top = responses.welch_top(obs, spark.createDataFrame(cells, "obs_id long, feature_id int, value double"), 3).collect()
     assert {(r.drug, r.feature_id) for r in top} == {(f"d{k}", 3 * k + j) for k in range(3) for j in range(3)}
+
+
+def test_even_sample_and_bins(spark):
+    df = spark.range(10).select(F.lit("p").alias("g"), F.col("id").alias("o")).unionByName(spark.createDataFrame([("q", 1), ("q", 2)], "g string, o long"))
+    assert rows(sampling.even_sample(df, ["g"], "o", 4)) == [("p", 0), ("p", 3), ("p", 6), ("p", 9), ("q", 1), ("q", 2)]
+    assert rows(sampling.even_sample(df.limit(0), ["g"], "o", 4)) == []
+    values = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (None,), (5.0,)], "value double")
+    assert rows(features.expression_bins(values, 5)) == [(0, 0.0), (1, 1.0), (2, 3.0), (3, 5.0)]
+    assert rows(features.expression_bins(values.where("value = 0"), 5)) == []
+    for bad in (lambda: sampling.even_sample(df, ["g"], "o", 1), lambda: features.expression_bins(values, 3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_abundance_sample(spark):
+    conditions = spark.createDataFrame([("a", 1), ("b", 0), ("c", 9000), ("d", 999)], "drug string, n_cells int")
+    drawn = sampling.abundance_sample(conditions, ["drug"], 3000, "1").groupBy("drug").count().collect()
+    share = {r["drug"]: r["count"] / 3000 for r in drawn}
+    assert sum(share.values()) == pytest.approx(1) and "b" not in share and share["c"] == pytest.approx(0.9, abs=0.03)
+    assert sampling.abundance_sample(conditions, ["drug"], 0, "1").count() == 0
+    with pytest.raises(ValueError):
+        sampling.abundance_sample(conditions.where("n_cells = 0"), ["drug"], 5, "1")
+
+
+def test_seen_components(spark):
+    obs = spark.createDataFrame([(1, "p", ["a"]), (2, "p", ["a", "b"]), (3, "p", ["b", "c"]), (4, "q", ["a", "a"]), (5, "q", []), (6, "q", None), (7, "p", ["a"])], "obs_id long, population string, components array<string>")
+    found = {r.obs_id: r.part for r in splits.split_seen_components(obs, 0).collect()}
+    assert found == {1: "train", 7: "train", 2: "one_seen", 3: "both_unseen", 4: "both_seen"}
+    assert sorted(r.part for r in splits.split_seen_components(obs, 0.5).where("obs_id in (1, 7)").collect()) == ["internal", "train"]
+    with pytest.raises(ValueError):
+        splits.split_seen_components(obs, 1)
+
+
+def test_edges_of_graphs(spark):
+    triples = spark.createDataFrame([("drug", "A-1", "gene/protein", "g"), ("Protein", "G", "DRUG", "a 1"), ("gene", "g", "gene", "g"), (None, "a1", "gene", "g"), ("drug", "zz", "gene", "g")], "x_type string, x_name string, y_type string, y_name string")
+    drugs = spark.createDataFrame([("a1", 1), ("A 1", 2), (None, 3)], "name string, drug_id long")
+    genes = spark.createDataFrame([("G", 5)], "name string, feature_id long")
+    assert rows(graph.typed_edges(triples, drugs, genes)) == [(2, 5)]
+    edges = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (1, 0), (None, 1)], "src long, dst long")
+    found = graph.negative_edges(edges, 4, "s", redraws=64).collect()
+    assert len(found) == 3 and all(r.negative == 3 if r.src == 0 else r.negative in (2, 3) for r in found)
+    full = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
+    assert rows(graph.negative_edges(full, 2, "s")) == [(0, 1, None), (1, 0, None)]
+    chain = spark.createDataFrame([(2, 1, "k"), (3, 2, "k"), (4, 3, "k"), (5, 1, "j"), (6, 1, "k"), (7, 1, "k")], "src long, dst long, kind string")
+    root = spark.createDataFrame([(1,)], "node long")
+    near = graph.in_neighbours(chain, root, 9, 2, "s")
+    assert rows(near.select("src", "dst")) == [(2, 1), (3, 2), (5, 1), (6, 1), (7, 1)]
+    assert graph.in_neighbours(chain, root, 1, 1, "s").groupBy("kind").count().count() == 2
+
+
+def test_first_components(spark):
+    np = pytest.importorskip("numpy")
+    x = np.random.default_rng(3).normal(size=(60, 5)) * [5, 1, 3, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vector array<double>")
+    got = np.array([[r.pc1, r.pc2] for r in features.first_components(df).orderBy("id").collect()])
+    centred = x - x.mean(axis=0)
+    directions = np.linalg.svd(centred)[2][:2]
+    directions *= np.sign(directions[np.arange(2), abs(directions).argmax(axis=1)])[:, None]
+    assert np.allclose(got, centred @ directions.T, atol=1e-8)
