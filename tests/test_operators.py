@@ -176,3 +176,15 @@ def test_first_components(spark):
     directions = np.linalg.svd(centred)[2][:2]
     directions *= np.sign(directions[np.arange(2), abs(directions).argmax(axis=1)])[:, None]
     assert np.allclose(got, centred @ directions.T, atol=1e-8)
+
+
+def test_neighbours_similar_sets_and_holdouts(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (9, 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, 2.0), (2, 7.0), (3, 4.0)], "node long, value double")
+    assert rows(graph.neighbor_mean(edges, nodes)) == [(1, 0.0), (2, 3.0), (3, 0.0)]
+    sets = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "d"), (4, None)], "id long, token string")
+    assert [(a, b) for a, b, _ in rows(graph.jaccard_pairs(sets, 0.5))] == [(1, 2)]
+    assert rows(graph.jaccard_pairs(sets, 0.7)) == []
+    assert [splits.holdout_count(x, 10) for x in (0.25, 0.01, 3)] == [2, 1, 3]
+    with pytest.raises(ValueError):
+        splits.holdout_count(0, 10)
