@@ -179,6 +179,26 @@ def test_short_lines_equal_brute_force(spark):
     assert {r.doc_id for r in got if r.n_removed} == want and len(want) > 60
 
 
+def test_numbers_of_lines_are_their_shingles():
+    """Lines as numbers and as sets of strings give one verdict, within and beyond one-byte characters."""
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "abc", "abcdefgh", "abcdefghi", "é" * 40, "中" * 40, "\x00bcdefgh", "\ud800 abcdefghi"]
+    for n in (20, 60, 99, 100, 300):
+        s = "".join(rng.choice(list("abcdéñ "), n))
+        texts += [s, s[: n // 2] + "7" + s[n // 2 + 1 :], s + "x", "中" + s, s * 2, s[: n * 9 // 10]]
+    for x in texts:
+        for y in texts:
+            sizes = (8, 4) if max(len(x), len(y)) < 100 else (8,)
+            sets = [tuple({t[i : i + c] for i in range(max(1, len(t) - c + 1))} for t in (x, y)) for c in sizes]
+            assert lines.alike(x, y) == any(len(p & q) >= 0.8 * len(p | q) for p, q in sets), (x, y)
+
+
+def test_normal_lines():
+    texts = ["", "\n", " A  b \n\nc\td\r\n", "ΑΣ\nΣ a", "x y 　 z\nq", "a b\n c  d", "A\x1cB\x85\nİ ß"]
+    for text in texts:
+        assert lines.normal_lines(text) == [" ".join(s.lower().split()) for s in text.split("\n")]
+
+
 def test_private(docs, none):
     rows = {r.doc_id: r for r in private.sanitise(docs).collect()}
     assert rows[None].n_email == 1 and rows[None].n_phone == 1 and "[EMAIL]" in rows[None].clean_text
