@@ -1,9 +1,11 @@
 """Distances between predicted and observed vectors, rankings of differential features, covariances, rollups."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from obsidia.operators.blocks import BLOCK, dense, vectors
 from obsidia.operators.census import CONDITION
 
 
@@ -74,19 +76,37 @@ def deg_ranking(rows: DataFrame, marks: DataFrame, top_k: int, keys=CONDITION) -
     )
 
 
-def covariance_score(rows: DataFrame, keys=CONDITION) -> DataFrame:
+def covariance_score(rows: DataFrame, keys=CONDITION, block: int = BLOCK) -> DataFrame:
     """One row, css: Frobenius norm of the difference of the covariances between features of predicted and of observed
     differences from control, over that of the observed ones. Null with fewer than two conditions.
 
-    Pairs are those of features, each kept once; sums are partial before the shuffle.
+    The norms come from the inner products of the centred vectors of all pairs of conditions, a pair of blocks in a task;
+    neither pairs of conditions nor of features are rows. A feature that a condition lacks counts as the feature's mean,
+    null values likewise.
     """
     d = rows.select(*keys, "feature_id", (F.col("predicted") - F.col("control")).alias("p"), (F.col("observed") - F.col("control")).alias("o"))
-    x = d.select(*keys, F.col("feature_id").alias("i"), F.col("p").alias("pi"), F.col("o").alias("oi"))
-    y = d.select(*keys, F.col("feature_id").alias("j"), F.col("p").alias("pj"), F.col("o").alias("oj"))
-    cov = x.join(y, list(keys)).where("i <= j").groupBy("i", "j").agg(F.covar_samp("pi", "pj").alias("p"), F.covar_samp("oi", "oj").alias("o"))
-    twice = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    norms = cov.agg(F.sqrt(F.sum(twice * (F.col("p") - F.col("o")) ** 2)).alias("off"), F.sqrt(F.sum(twice * F.col("o") ** 2)).alias("base"))
-    return norms.select((F.col("off") / F.greatest("base", F.lit(1e-12))).alias("css"))
+    mean = d.groupBy("feature_id").agg(F.avg("p").alias("mp"), F.avg("o").alias("mo"))
+    centred = d.join(mean, "feature_id").select(*keys, "feature_id", *(F.coalesce(F.col(c) - F.col(f"m{c}"), F.lit(0.0)).alias(c) for c in "po"))
+    n = d.select(*keys).distinct().agg(F.count("*").alias("n"))
+    v = vectors(centred, keys, ["p", "o"]).join(n.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    v = v.withColumn("own", F.pmod(F.xxhash64(*keys), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    v = v.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "feature", "p", "o")
+
+    def products(part: pa.Table) -> pa.Table:
+        p, o = dense(part, ["p", "o"], 0.0)
+        own = part.column("own").to_numpy()
+        x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
+        a, b = own == x, own == y
+        squares = lambda u, w: float(((u @ w.T) ** 2).sum())
+        both, seen, mixed = squares(p[a], p[b]), squares(o[a], o[b]), squares(p[a], o[b])
+        if x != y:
+            both, seen, mixed = 2 * both, 2 * seen, mixed + squares(o[a], p[b])
+        return pa.table({"off": [both + seen - 2 * mixed], "base": [seen]})
+
+    sums = v.groupBy("x", "y").applyInArrow(products, "off double, base double").agg(F.sum("off").alias("off"), F.sum("base").alias("base"))
+    scale = F.col("n") - 1
+    score = F.sqrt(F.greatest("off", F.lit(0.0))) / scale / F.greatest(F.sqrt("base") / scale, F.lit(1e-12))
+    return sums.join(n).select(F.when(F.col("n") > 1, score).alias("css"))
 
 
 def rollup_means(rows: DataFrame, key: str, run: str, metrics, overall: str | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
 """Controls, differential features and responses of conditions."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from obsidia.operators.blocks import BLOCK, dense, vectors
 from obsidia.operators.census import CONDITION
 from obsidia.operators.features import group_means, group_moments
 
@@ -130,21 +133,44 @@ def biological(rows: DataFrame) -> DataFrame:
     return mean.groupBy("population").agg(F.corr("p", "o").alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
 
 
-def discrimination(rows: DataFrame, distance: str = "euclidean") -> DataFrame:
-    """Per population 1 - 2 * mean(rank / n): rank counts the observed vectors nearer to a prediction than its own.
+def discrimination(rows: DataFrame, distance: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """Per population 1 - 2 * mean(rank / n): rank counts the observed vectors nearer to a prediction than its own, by more
+    than 1e-12; n counts those that share a feature with it.
 
-    distance is euclidean or cityblock. Pairs are formed within a population, between conditions: their number is that of
-    conditions squared, not observations.
+    distance is euclidean or cityblock. rows hold one row per condition and feature; features that either vector lacks, null
+    or NaN values take no part. Rows without a population are left out. Conditions are dealt to blocks by a hash, and each
+    pair of blocks of a population is compared in one task, so that pairs of conditions are no rows.
     """
-    apart = F.col("predicted") - F.col("observed")
-    part = {"euclidean": apart * apart, "cityblock": F.abs(apart)}[distance]
+    if distance not in ("euclidean", "cityblock"):
+        raise ValueError(f"no such distance: {distance}")
     key = F.concat_ws("|", "drug", F.col("dose").cast("string"))
-    p = rows.select("population", key.alias("i"), "feature_id", "predicted")
-    o = rows.select("population", key.alias("j"), "feature_id", "observed")
-    d = p.join(o, ["population", "feature_id"]).groupBy("population", "i", "j").agg(F.sum(part).alias("d"))
-    own = d.where("i = j").select("population", "i", F.col("d").alias("own"))
-    ranks = d.join(own, ["population", "i"]).groupBy("population", "i").agg(F.count_if(F.col("d") < F.col("own") - 1e-12).alias("rank"), F.count("*").alias("n"))
-    return ranks.groupBy("population").agg((1 - 2 * F.avg(F.col("rank") / F.col("n"))).alias("pds"))
+    named = rows.where("population is not null").select("population", key.alias("i"), "feature_id", "predicted", "observed")
+    blocks_of = named.groupBy("population").agg(F.ceil(F.count_distinct("i") / block).cast("int").alias("blocks"))
+    v = vectors(named, ["population", "i"], ["predicted", "observed"]).join(blocks_of, "population")
+    v = v.withColumn("own", F.pmod(F.xxhash64("i"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = v.select("population", "i", F.lit(True).alias("asks"), F.col("own").alias("x"), F.col("other").alias("y"), "feature", "predicted", "observed")
+    no_values = F.transform("observed", lambda _: F.lit(None).cast("double"))
+    answers = v.select("population", "i", F.lit(False).alias("asks"), F.col("other").alias("x"), F.col("own").alias("y"), "feature", no_values.alias("predicted"), "observed")
+
+    def ranks(part: pa.Table) -> pa.Table:
+        asking = part.column("asks").to_numpy()
+        names = np.array(part.column("i").to_pylist(), dtype=object)
+        p, o = dense(part, ["predicted", "observed"], np.nan)
+        seen, of = o[~asking], names[~asking]
+        out = []
+        for i in np.flatnonzero(asking):
+            apart = lambda other: np.abs(p[i] - other) if distance == "cityblock" else (p[i] - other) ** 2  # noqa: E731, B023
+            d = apart(seen)
+            shared = ~np.isnan(d).all(axis=1) if d.shape[1] else np.zeros(len(d), dtype=bool)
+            nearer = (np.nansum(d, axis=1) < np.nansum(apart(o[i])) - 1e-12) & shared & (of != names[i])
+            out.append((part.column("population")[0].as_py(), names[i], int(nearer.sum()), int(shared.sum())))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["population", "i", "rank", "n"])
+
+    counts = asks.unionByName(answers).withColumn("population", F.col("population").cast("string"))
+    counts = counts.groupBy("population", "x", "y").applyInArrow(ranks, "population string, i string, rank long, n long")
+    counts = counts.groupBy("population", "i").agg(F.sum("rank").alias("rank"), F.sum("n").alias("n"))
+    kind = rows.schema["population"].dataType
+    return counts.where("n > 0").groupBy(F.col("population").cast(kind).alias("population")).agg((1 - 2 * F.avg(F.col("rank") / F.col("n"))).alias("pds"))
 
 
 def negative_condition(conditions: DataFrame) -> DataFrame:

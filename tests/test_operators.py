@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from obsidia.functions import text as tx
-from obsidia.operators import checks, cleaning, features, graph, responses, sampling, splits, summaries
+from obsidia.operators import checks, cleaning, distances, features, graph, responses, sampling, splits, summaries
 from obsidia.sources import sparse
 
 
@@ -188,3 +189,37 @@ def test_neighbours_similar_sets_and_holdouts(spark):
     assert [splits.holdout_count(x, 10) for x in (0.25, 0.01, 3)] == [2, 1, 3]
     with pytest.raises(ValueError):
         splits.holdout_count(0, 10)
+
+
+def _conditions(spark, n=9, features=7, seed=1):
+    rng = np.random.default_rng(seed)
+    p, o, c = rng.normal(size=(3, n, features)).round(3)
+    rows = [("abc"[i % 2], f"d{i // 2}", 1.0, f, float(p[i, f]), float(o[i, f]), float(c[i, f])) for i in range(n) for f in range(features)]
+    return p, o, c, spark.createDataFrame(rows, "population string, drug string, dose double, feature_id int, predicted double, observed double, control double")
+
+
+@pytest.mark.parametrize("distance", ["euclidean", "cityblock"])
+def test_discrimination_by_blocks(spark, distance):
+    p, o, _, rows = _conditions(spark)
+    o[4] = o[2]  # a tie within population a
+    rows = rows.join(spark.createDataFrame([(i // 2, "abc"[i % 2], f, float(o[i, f])) for i in range(9) for f in range(7)], "d int, population string, feature_id int, seen double")
+                     .withColumn("drug", F.concat(F.lit("d"), "d")).drop("d"), ["population", "drug", "feature_id"]).withColumn("observed", F.col("seen")).drop("seen")
+    want = {}
+    for k, name in enumerate("ab"):
+        mine = list(range(k, 9, 2))
+        far = lambda i, j: (np.abs(p[i] - o[j]) if distance == "cityblock" else (p[i] - o[j]) ** 2).sum()
+        want[name] = 1 - 2 * np.mean([sum(far(i, j) < far(i, i) - 1e-12 for j in mine) / len(mine) for i in mine])
+    for block in (2, 128):
+        got = {r.population: r.pds for r in responses.discrimination(rows, distance, block).collect()}
+        assert got == pytest.approx(want)
+    assert responses.discrimination(rows.where("false"), distance).count() == 0
+
+
+def test_covariance_score_by_blocks(spark):
+    p, o, c, rows = _conditions(spark, seed=2)
+    cp, co = np.cov(p - c, rowvar=False), np.cov(o - c, rowvar=False)
+    want = np.linalg.norm(cp - co) / np.linalg.norm(co)
+    for block in (2, 128):
+        assert distances.covariance_score(rows, block=block).first().css == pytest.approx(want, rel=1e-6)
+    assert distances.covariance_score(rows.where("drug = 'd0' and population = 'a'")).first().css is None
+    assert distances.covariance_score(rows.where("false")).first().css is None
