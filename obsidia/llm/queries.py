@@ -12,6 +12,7 @@ from obsidia.llm.runs import op11_periodic_runs
 from obsidia.llm.suffixes import op3_suffix_dedup
 from obsidia.llm.token_counts import op1_token_counts
 from obsidia.llm.token_files import op7_token_files
+from obsidia.llm.toxicity import op12_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE_SQL = {"op10_decontaminate": OP10_SQL, "op13_vector_codes": OP13_SQL}
