@@ -35,6 +35,8 @@ YOU = frozenset(
 )
 #: Characters that stand in for letters in obfuscated words.
 LEET = str.maketrans("013457@$!|", "oieastasil")
+#: What commonly stands around a word.
+MARKS = ".,;:!?\"'()[]#*$%&|<>-"
 _CORE = re.compile(r"[\W_]*([^\W_](?:.*[^\W_])?)", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STRETCH = re.compile(r"([^\W\d_])\1\1+")
@@ -63,15 +65,48 @@ class Lexicon:
     """What each chunk says: weight of its entry (0: none), and counts of marks."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.known = weights, {}
+        self.words = {e: w for e, w in weights.items() if not e.endswith("*")}
+        self.stems = {e[:-1]: w for e, w in weights.items() if e.endswith("*")}
+        self.known: dict[str, tuple] = {}
 
     def weight(self, word: str) -> float:
-        return max((self.weights.get(e, 0.0) for e in entries(word)), default=0.0)
+        """The greatest weight of the entries of a word; stems count for longer words only."""
+        best, n = self.words.get(word, 0.0), len(word)
+        for k in STEMS:
+            if k < n and (w := self.stems.get(word[:k], 0.0)) > best:
+                best = w
+        return best
 
     def look(self, chunk: str) -> tuple:
         """(weight, second person, upper, letters, shouted, !?, other symbols, obfuscated, hit only without obfuscation, stretched)"""
         if chunk in self.known:
             return self.known[chunk]
+        inner = chunk.strip(MARKS)
+        if not inner.isalpha() or not inner.lower().isalpha():
+            found = self._mixed(chunk)
+        elif inner == chunk:
+            found = self._plain(chunk)
+        else:
+            outer = len(chunk) - len(inner)
+            marks = chunk.count("!") + chunk.count("?")
+            found = (*self.look(inner)[:5], marks, outer - marks, *self.look(inner)[7:])
+        if len(chunk) <= 64:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[chunk] = found
+        return found
+
+    def _plain(self, chunk: str) -> tuple:
+        """`_mixed` for a chunk of letters alone."""
+        c, n = chunk.lower(), len(chunk)
+        plain = self.weight(c)
+        hidden, stretched = 0.0, len(set(c)) < len(c) - 1 and _STRETCH.search(c) is not None
+        if stretched:
+            hidden = self.weight(_STRETCH.sub(r"\1", c))
+        upper = 0 if c == chunk else sum(map(str.isupper, chunk))
+        return (max(plain, hidden), c in YOU, upper, n, n > 2 and upper == n, 0, 0, False, plain == 0 < hidden, stretched)
+
+    def _mixed(self, chunk: str) -> tuple:
         c = core(chunk)
         plain = max((self.weight(w) for w in _LETTERS.findall(c)), default=0.0)
         letters = [x for x in chunk if x.isalpha()]
@@ -86,12 +121,7 @@ class Lexicon:
             hidden = max(hidden, self.weight(_STRETCH.sub(r"\1", c)))
         symbols = sum(not x.isalnum() for x in chunk)
         marks = chunk.count("!") + chunk.count("?")
-        found = (max(plain, hidden), c in YOU, upper, len(letters), len(letters) > 2 and upper == len(letters), marks, symbols - marks, obfuscated, plain == 0 < hidden, stretched)
-        if len(chunk) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        return (max(plain, hidden), c in YOU, upper, len(letters), len(letters) > 2 and upper == len(letters), marks, symbols - marks, obfuscated, plain == 0 < hidden, stretched)
 
     def measure(self, texts: list[str]) -> np.ndarray:
         """(texts, FEATURES)"""
