@@ -11,13 +11,13 @@ CONTROL_NAMES = ("control", "ctrl", "dmso", "dmso_tf", "mock", "negative control
 CONTROL_FLAGS = ("1", "true", "yes", "control", "vehicle", "dmso")
 
 
-def is_control(*names: str) -> Column:
-    """One of the columns holds, in any case, the name of a control; nulls don't."""
-    found = [F.coalesce(F.lower(F.trim(n)).isin(*CONTROL_NAMES), F.lit(False)) for n in names]
+def is_control(*names: str, known=CONTROL_NAMES) -> Column:
+    """One of the columns holds, in any case, one of the known names of controls; nulls don't. Sources differ in these names."""
+    found = [F.coalesce(F.lower(F.trim(n)).isin(*known), F.lit(False)) for n in names]
     return F.greatest(*found) if len(found) > 1 else found[0]
 
 
-def control_flag(df: DataFrame, flag: str, drug: str) -> Column:
+def control_flag(df: DataFrame, flag: str, drug: str, known=CONTROL_NAMES) -> Column:
     """The flag is true, not 0, or a text of CONTROL_FLAGS, or the drug is a control's name; null flags count as unset."""
     kind = df.schema[flag].dataType
     if isinstance(kind, BooleanType):
@@ -26,7 +26,7 @@ def control_flag(df: DataFrame, flag: str, drug: str) -> Column:
         told = F.col(flag) != 0
     else:
         told = F.lower(flag).isin(*CONTROL_FLAGS)
-    return F.coalesce(told, F.lit(False)) | is_control(drug)
+    return F.coalesce(told, F.lit(False)) | is_control(drug, known=known)
 
 
 def condition_fields(rows: DataFrame, metadata: DataFrame) -> DataFrame:

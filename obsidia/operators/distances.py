@@ -1,5 +1,6 @@
 """Distances between predicted and observed vectors, rankings of differential features, covariances, rollups."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,31 +18,122 @@ def wasserstein(rows: DataFrame, keys=CONDITION) -> DataFrame:
     return joined.groupBy(*keys).agg(F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("wasserstein"))
 
 
-def _even(values: str, most: int) -> F.Column:
-    """Of a sorted array: at most `most` elements at evenly spaced places, the first and last included."""
-    n = F.size(values)
-    step = lambda i: F.get(values, F.floor(i * (n - 1) / (most - 1)).cast("int"))
-    return F.when(n <= most, F.col(values)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), step))
+#: Bins of a histogram, share of the median cost that blurs the plan, and turns of the scaling.
+BINS, BLUR, TURNS = 64, 0.05, 60
+
+
+def _scaled(batches, names):
+    """Entropic transport between the histograms p and o of many groups at once, by alternate scaling of rows and columns."""
+    apart = np.square(np.arange(BINS)[:, None] - np.arange(BINS)[None]).astype(np.float64)
+    typical = np.median(apart[apart > 0])
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            p, o = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS) for c in "po")
+            square = np.square(part.column("width").to_numpy(zero_copy_only=False))[:, None, None]
+            cost = apart[None] * square
+            kernel = np.exp(-cost / np.maximum(BLUR * typical * square, 1e-8))
+            left, right = np.ones_like(p), np.ones_like(o)
+            for _ in range(TURNS):
+                left = p / np.maximum((kernel @ right[:, :, None])[:, :, 0], 1e-30)
+                right = o / np.maximum((kernel @ left[:, :, None])[:, :, 0], 1e-30)
+            total = ((left[:, :, None] * kernel * right[:, None]) * cost).sum(axis=(1, 2))
+            yield pa.record_batch([*(part.column(n) for n in names), pa.array(np.sqrt(np.maximum(total, 0)))], names=[*names, "sinkhorn"])
+
+
+def sinkhorn(rows: DataFrame, keys=CONDITION) -> DataFrame:
+    """keys, sinkhorn: entropic transport distance between the histograms of predicted and observed values of each group.
+
+    Histograms of BINS equal bins from the least to the greatest value are counted by Spark; BINS numbers of each side reach
+    Python, many groups at a time. Null where any value is null, NaN or infinite; 0 where all values are equal.
+    """
+    keys = list(keys)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    lim = rows.groupBy(*keys).agg(F.min(F.least("predicted", "observed")).alias("lo"), F.max(F.greatest("predicted", "observed")).alias("hi"), F.bool_and(finite("predicted") & finite("observed")).alias("fit"), F.count("*").alias("n"))
+    named = lim.select(*(F.col(k).alias(f"_{k}") for k in keys), "lo", "hi", "n", (F.col("fit") & (F.col("hi") - F.col("lo") >= 1e-12)).alias("spread"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    placed = rows.join(named.where("spread"), same)
+    place = lambda c: F.least(F.floor((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int")
+    sides = F.explode(F.array(*(F.struct(place(c).alias("bin"), F.lit(float(c == "predicted")).alias("p"), F.lit(float(c == "observed")).alias("o")) for c in ("predicted", "observed")))).alias("e")
+    counted = placed.select(*keys, "lo", "hi", "n", sides).groupBy(*keys, "lo", "hi", "n", "e.bin").agg(*(F.sum(f"e.{c}").alias(c) for c in "po"))
+    filled = counted.groupBy(*keys, "lo", "hi", "n").agg(*(F.map_from_entries(F.collect_list(F.struct("bin", c))).alias(c) for c in "po"))
+    spread = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.element_at(c, i), F.lit(0.0)) / F.col("n"))
+    hist = filled.select(*keys, spread("p").alias("p"), spread("o").alias("o"), ((F.col("hi") - F.col("lo")) / BINS).alias("width"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    done = hist.mapInArrow(lambda it: _scaled(it, keys), f"{kinds}, sinkhorn double")
+    flat = lim.where(~F.col("fit") | (F.col("hi") - F.col("lo") < 1e-12)).select(*keys, F.when(F.col("fit"), 0.0).alias("sinkhorn"))
+    return done.unionByName(flat)
+
+
+def _median_gap(v: np.ndarray) -> float:
+    """Median of the positive distances |v[i] - v[j]| over ordered pairs of sorted values; 0 if there is none."""
+    equal = np.searchsorted(v, v, "right") - np.searchsorted(v, v, "left")
+    n = (len(v) ** 2 - int(equal.sum())) // 2  # each positive distance stands in two ordered pairs
+    if not n:
+        return 0.0
+    upper = np.searchsorted(v, v, "right")  # the first place that lies above
+
+    def at(rank):
+        """The distance of that rank, from 1, by halving the bits of the distance."""
+        lo, hi = 0.0, float(v[-1] - v[0])
+        lo, hi = np.float64(lo).view(np.int64), np.float64(hi).view(np.int64)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            gap = np.int64(mid).view(np.float64)
+            reach = np.searchsorted(v, v + gap, "right")
+            # v + gap is rounded: settle the places beside it by the distance itself
+            while (more := (reach < len(v)) & (v[np.minimum(reach, len(v) - 1)] - v <= gap)).any():
+                reach = reach + more
+            while (less := (reach > upper) & (v[np.maximum(reach - 1, 0)] - v > gap)).any():
+                reach = reach - less
+            if int(np.maximum(reach - upper, 0).sum()) >= rank:
+                hi = mid
+            else:
+                lo = mid + 1
+        return float(np.int64(lo).view(np.float64))
+
+    # over ordered pairs there are 2 n distances, each twice: the median is the mean of the ranks n / 2 and n / 2 + 1 of n
+    return at((n + 1) // 2) if n % 2 else (at(n // 2) + at(n // 2 + 1)) / 2
+
+
+def _mmd(predicted, observed, most):
+    sides = []
+    for v in (predicted, observed):
+        v = np.sort(np.asarray(v, dtype=np.float64))
+        sides.append(v if len(v) <= most else v[np.linspace(0, len(v) - 1, most).astype(np.int64)])
+    width = _median_gap(np.sort(np.concatenate(sides)))
+    if not width:
+        return 0.0
+    scale = 2 * max(width, 1e-8) ** 2
+    # a row of the kernel at a time: memory is linear in the group
+    mean = lambda a, b: sum(float(np.exp(-np.square(x - b) / scale).sum()) for x in a) / len(a) / len(b)
+    p, o = sides
+    return float(np.sqrt(max(mean(p, p) + mean(o, o) - 2 * mean(p, o), 0.0)))
+
+
+def _discrepancies(batches, names, most):
+    for batch in batches:
+        found = []
+        for p, o, fit in zip(batch.column("p"), batch.column("o"), batch.column("fit").to_pylist()):
+            found.append(_mmd(p.values.to_numpy(zero_copy_only=False), o.values.to_numpy(zero_copy_only=False), most) if fit else None)
+        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, "mmd"])
 
 
 def mmd_rbf(rows: DataFrame, keys=CONDITION, most: int = 512) -> DataFrame:
-    """Maximum mean discrepancy of the values with a Gaussian kernel as wide as the median positive distance.
+    """keys, mmd: maximum mean discrepancy of predicted and observed values with a Gaussian kernel as wide as the median
+    positive distance.
 
-    A side keeps at most `most` evenly spaced order statistics, so the distances of a group stay within its row.
+    A side keeps at most `most` evenly spaced order statistics. The median is searched for over sorted values and the kernel
+    summed a row at a time, so a group takes memory for its values alone. Null where a value is null, NaN or infinite; 0 if
+    all are equal.
     """
-    arrays = rows.groupBy(*keys).agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in ("predicted", "observed")))
-    arrays = arrays.select(*keys, _even("predicted", most).alias("p"), _even("observed", most).alias("o"))
-    apart = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y != x), lambda y: F.abs(x - y))))
-    arrays = arrays.withColumn("all", F.concat("p", "o")).withColumn("apart", F.array_sort(apart))
-    half = (F.size("apart") / 2).cast("int")  # distances stand twice, so their number is even
-    arrays = arrays.withColumn("width", F.greatest((F.get("apart", half - 1) + F.get("apart", half)) / 2, F.lit(1e-8)))
-
-    def kernel(a, b):
-        near = lambda x: F.aggregate(b, F.lit(0.0), lambda s, y: s + F.exp(-(x - y) * (x - y) / (2 * F.col("width") * F.col("width"))))
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + near(x)) / F.size(a) / F.size(b)
-
-    squared = kernel("p", "p") + kernel("o", "o") - 2 * kernel("p", "o")
-    return arrays.select(*keys, F.when(F.size("apart") == 0, 0.0).otherwise(F.sqrt(F.greatest(squared, F.lit(0.0)))).alias("mmd"))
+    keys = list(keys)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    arrays = rows.groupBy(*keys).agg(F.collect_list("predicted").alias("p"), F.collect_list("observed").alias("o"), F.bool_and(finite("predicted") & finite("observed")).alias("fit"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return arrays.mapInArrow(lambda it: _discrepancies(it, keys, most), f"{kinds}, mmd double")
 
 
 def deg_ranking(rows: DataFrame, marks: DataFrame, top_k: int, keys=CONDITION) -> DataFrame:

@@ -65,6 +65,12 @@ def select_variable(obs: DataFrame, counts: DataFrame, n_top: int = 2000, by: st
     return best.orderBy("median_rank", F.col("n_groups").desc(), "feature_id").limit(n_top)
 
 
+def placed(top: DataFrame) -> DataFrame:
+    """place (from 0), feature_id of the rows that `select_variable` gives, in their order; as many rows as are selected."""
+    order = W.orderBy("median_rank", F.col("n_groups").desc(), "feature_id")
+    return top.select((F.row_number().over(order) - 1).cast("long").alias("place"), "feature_id")
+
+
 def log_normalise(counts: DataFrame, target: float = 10000.0) -> DataFrame:
     """obs_id, feature_id, value = log1p(count * target / total of the observation)."""
     valid = valid_values(counts)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from obsidia.operators.blocks import BLOCK, dense, vectors
 from obsidia.operators.census import CONDITION
 from obsidia.operators.features import group_means, group_moments
+from obsidia.operators.significance import benjamini_hochberg  # noqa: F401  kept here for those who import it from here
 
 
 def missing_controls(obs: DataFrame) -> DataFrame:
@@ -52,40 +53,6 @@ def welch_top(obs: DataFrame, values: DataFrame, top_k: int = 50) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select(*CONDITION, "feature_id", "t", "rank")
 
 
-def rank_sum(obs: DataFrame, values: DataFrame) -> DataFrame:
-    """z of the rank-sum test of each condition and feature against all controls of the population, by mean ranks.
-
-    Values are positive and zeros are not stored: the zeros of both arms share the lowest ranks, the positives follow.
-    Positives are counted by value first, so controls, which meet every condition, are ranked once per value.
-    """
-    size1 = obs.where("not is_control").groupBy(*CONDITION).agg(F.count("*").alias("n1"))
-    size0 = obs.where("is_control").groupBy("population").agg(F.count("*").alias("n0"))
-    pos = values.where("value > 0").join(obs.select("obs_id", "is_control", *CONDITION), "obs_id")
-    one = pos.where("not is_control").groupBy(*CONDITION, "feature_id", "value").agg(F.count("*").alias("k1"))
-    zero = pos.where("is_control").groupBy("population", "feature_id", "value").agg(F.count("*").alias("k0"))
-    seen = one.select(*CONDITION, "feature_id").distinct()
-    both = one.withColumn("k0", F.lit(0)).unionByName(seen.join(zero, ["population", "feature_id"]).withColumn("k1", F.lit(0)))
-    both = both.groupBy(*CONDITION, "feature_id", "value").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
-    k = F.col("k1") + F.col("k0")
-    by = W.partitionBy(*CONDITION, "feature_id")
-    ranked = both.withColumn("mean_rank", F.sum(k).over(by.orderBy("value")) - (k - 1) / 2)
-    sums = ranked.groupBy(*CONDITION, "feature_id").agg(F.sum(F.col("k1") * F.col("mean_rank")).alias("r"), F.sum("k1").alias("p1"), F.sum("k0").alias("p0"))
-    out = sums.join(size1, list(CONDITION)).join(size0, "population")
-    zeros = F.col("n1") + F.col("n0") - F.col("p1") - F.col("p0")
-    r = F.col("r") + F.col("p1") * zeros + (F.col("n1") - F.col("p1")) * (zeros + 1) / 2
-    n = F.col("n1") + F.col("n0")
-    return out.select(*CONDITION, "feature_id", ((r - F.col("n1") * (n + 1) / 2) / F.sqrt(F.col("n1") * F.col("n0") * (n + 1) / 12)).alias("z"))
-
-
-def benjamini_hochberg(rows: DataFrame, keys, p: str = "p") -> DataFrame:
-    """rows with q, the step-up adjusted p within keys; null and NaN count as 1."""
-    clean = F.when(F.col(p).isNull() | F.isnan(p), 1.0).otherwise(F.col(p))
-    by = W.partitionBy(*keys)
-    ranked = rows.withColumn("_p", clean).withColumn("_i", F.row_number().over(by.orderBy("_p"))).withColumn("_n", F.count("*").over(by))
-    tail = by.orderBy("_i").rowsBetween(0, W.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.min(F.col("_p") * F.col("_n") / F.col("_i")).over(tail), F.lit(1.0))).drop("_p", "_i", "_n")
-
-
 def predictions(obs: DataFrame, values: DataFrame) -> DataFrame:
     """Per condition and feature of the vocabulary: observed mean, control mean of the population, and a prediction
     halfway between the control and the mean over all conditions."""

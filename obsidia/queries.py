@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from obsidia.functions import text as tx
-from obsidia.operators import census, distances, features, graph, responses, splits
+from obsidia.operators import census, distances, features, graph, responses, significance, splits
 from obsidia.sources import driver_tables as dt
 
 MIN_CELLS, MAX_CELLS, TOP_FEATURES, TOKENS = 140, 150, 10, 8
@@ -200,7 +200,8 @@ n as (select population, drug, dose, count(*) as n1 from obs where not is_contro
 select population, drug, dose, feature_id, round((r + p1 * (n1 + n0 - p1 - p0) + (n1 - p1) * (n1 + n0 - p1 - p0 + 1) / 2.0 - n1 * (n1 + n0 + 1) / 2.0) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0), 5) as z
 from r join n using (population, drug, dose) join m using (population)""")
 def wilcoxon_z(spark, d):
-    return rounded(responses.rank_sum(dt.observations(spark, d), dt.counts(spark, d)), "z", digits=5)
+    tested = significance.rank_sum(dt.observations(spark, d), dt.counts(spark, d)).where("p1 > 0")
+    return rounded(tested.select(*KEYS, "feature_id", "z"), "z", digits=5)
 
 
 PREDICTED = f"""{ARMS}, general as (select feature_id, sum(mean) / (select count(*) from cond) as g from a group by 1),
@@ -351,4 +352,4 @@ def population_rollup(spark, d):
 @query("select population, drug, dose, match_group, count(*) as n_cells from obs where not is_control group by all")
 def condition_group_census(spark, d):
     return dt.observations(spark, d).where("not is_control").groupBy(*KEYS, "match_group").agg(F.count("*").alias("n_cells"))
-from obsidia import queries_graphs, queries_tables  # noqa: E402, F401  register the queries of the other modules
+from obsidia import queries_graphs, queries_inputs, queries_samples, queries_sources, queries_tables  # noqa: E402, F401  register the queries of the other modules

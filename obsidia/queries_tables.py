@@ -151,12 +151,6 @@ def cell_cap_in_order(spark, d):
     return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("obs_id").alias("id_sum"))
 
 
-@query("""placed as (select population, drug, dose, obs_id, row_number() over (partition by population, drug, dose order by sha256('7:' || cast(obs_id as varchar)), obs_id) - 1 as place, count(*) over (partition by population, drug, dose) as n from obs where not is_control)
-select population, drug, dose, cast(slot as int) as slot, obs_id from (select unnest(range(150)) as slot) s join placed on slot % n = place""")
-def sample_set(spark, d):
-    return sampling.sample_sets(dt.observations(spark, d).where("not is_control"), list(KEYS), 150, "7")
-
-
 @query(f"""{PREDICTED} select population, drug, dose, feature_id, rank from (select *, row_number() over (partition by population, drug, dose order by round(abs(observed - control), 9) desc, feature_id) as rank
   from pred where abs(observed - control) > 0.05) where rank <= 5""")
 def top_deg_ids(spark, d):
@@ -165,10 +159,11 @@ def top_deg_ids(spark, d):
     return sampling.top_features(rows, list(KEYS), 5)
 
 
-@query("select obs_id, round(sum(case when feature_id = 11 then value else 0 end), 6) as first, round(sum(case when feature_id = 25 then value else 0 end), 6) as last, 3 as n from counts where feature_id in (11, 22, 25) group by 1")
+@query("""select o.obs_id, round(sum(case when feature_id = 11 then value else 0 end), 6) as first, round(sum(case when feature_id = 25 then value else 0 end), 6) as last, 3 as n
+  from obs o left join counts c using (obs_id) group by 1""")
 def hvg_vector(spark, d):
     selected = spark.createDataFrame([(11, 0), (22, 1), (25, 2)], "feature_id int, place int")
-    out = sampling.dense_vector(dt.counts(spark, d), selected)
+    out = sampling.dense_vector(dt.counts(spark, d), selected, dt.observations(spark, d))
     return out.select("obs_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(2)), 6).alias("last"), F.size("vector").alias("n"))
 
 
