@@ -14,8 +14,9 @@ def squash(c) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def null_like(c) -> Column:
-    return F.when(~F.lower(F.trim(c)).isin(*MISSING), F.trim(c))
+def null_like(c, *more: str) -> Column:
+    """The text without outer spaces; null if it is null or, in any case, one of MISSING or of more."""
+    return F.when(~F.lower(F.trim(c)).isin(*MISSING, *more), F.trim(c))
 
 
 def parse_treatment(c) -> Column:

@@ -140,15 +140,16 @@ def deg_ranking(rows: DataFrame, marks: DataFrame, top_k: int, keys=CONDITION) -
     """How well the size of the predicted difference from control ranks the marked features (keys, feature_id).
 
     deg_auroc: area under the curve of steps, each feature its own step; deg_auprc: mean precision at the marked ones;
-    both null if all or none are marked. deg_overlap: share of the top_k marked features by observed difference among
-    the top_k of all by predicted difference. Ties go to the lesser feature.
+    both null if all or none are marked, or a predicted difference is null, NaN or infinite. deg_overlap: share of the top_k
+    marked features by observed difference among the top_k of all by predicted difference. Sizes are compared as they are;
+    ties go to the lesser feature.
     """
     marked = rows.join(marks.select(*keys, "feature_id").distinct().withColumn("hit", F.lit(1)), [*keys, "feature_id"], "left").fillna(0, ["hit"])
-    size = lambda c: F.round(F.abs(F.col(c) - F.col("control")), 9)
+    size = lambda c: F.abs(F.col(c) - F.col("control"))
     by = W.partitionBy(*keys)
     order = by.orderBy(size("predicted").desc(), "feature_id")
     ranked = marked.select(
-        *keys, "hit",
+        *keys, "hit", F.coalesce(size("predicted") < float("inf"), F.lit(False)).alias("finite"),
         F.row_number().over(order).alias("place"),
         F.sum("hit").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("above"),
         F.row_number().over(by.orderBy(F.col("hit").desc(), size("observed").desc(), "feature_id")).alias("true_place"),
@@ -157,9 +158,9 @@ def deg_ranking(rows: DataFrame, marks: DataFrame, top_k: int, keys=CONDITION) -
     sums = ranked.groupBy(*keys).agg(
         F.sum("hit").alias("pos"), F.count_if(~hit).alias("neg"), F.sum(F.when(~hit, F.col("above"))).alias("area"),
         F.sum(F.when(hit, F.col("above") / F.col("place"))).alias("precision"),
-        F.count_if(hit & (F.col("place") <= top_k) & (F.col("true_place") <= top_k)).alias("both"),
+        F.count_if(hit & (F.col("place") <= top_k) & (F.col("true_place") <= top_k)).alias("both"), F.bool_and("finite").alias("finite"),
     )
-    mixed = (F.col("pos") > 0) & (F.col("neg") > 0)
+    mixed = F.col("finite") & (F.col("pos") > 0) & (F.col("neg") > 0)
     return sums.select(
         *keys,
         F.when(mixed, F.col("area") / (F.col("pos") * F.col("neg"))).alias("deg_auroc"),

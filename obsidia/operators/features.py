@@ -23,44 +23,59 @@ def feature_moments(obs: DataFrame, counts: DataFrame, by: str | None = None) ->
     return out.withColumns({"mean": mean, "variance": var})
 
 
-def variance_trend(moments: DataFrame, by: str, least: int = 20) -> DataFrame:
-    """moments with reg_std: the root of the variance that a parabola of log10 variance over log10 mean gives.
+def variance_trend(moments: DataFrame, by: str | None, least: int = 20) -> DataFrame:
+    """moments with reg_std: the root of the variance that a parabola of log10 variance over log10 mean gives, in each group.
 
-    The parabola is fitted by power sums over the features that vary, of which a group must have `least`, else the query
-    fails; constant ones keep reg_std 1.
+    The parabola is fitted to the features that vary, of which a group must have `least`, else the query fails; constant
+    ones keep reg_std 1. Its sums are taken about the group's mean of x, which keeps the equations well conditioned.
+    Without by, all moments are one group.
     """
+    keys = [by] if by else ["_all"]
+    p = moments if by else moments.withColumn("_all", F.lit("all features"))
     fit = (F.col("variance") > 0) & (F.col("mean") > 0)
     x, y = F.log10(F.greatest("mean", F.lit(1e-12))), F.log10(F.greatest("variance", F.lit(1e-12)))
-    p = moments.withColumns({"x": x, "y": y, "fit": fit})
+    p = p.withColumns({"x": x, "y": y, "fit": fit})
+    # one row for each group; a shuffle join, as groups may be many
+    centre = p.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("fit"), F.col("x"))), F.lit(0.0)).alias("cx"))
+    p = p.join(centre, keys).withColumn("u", F.col("x") - F.col("cx"))
     power = lambda e: F.sum(F.when(F.col("fit"), e))
-    s = p.groupBy(by).agg(F.count_if("fit").alias("s0"), *(power(F.col("x") ** k).alias(f"s{k}") for k in range(1, 5)), *(power(F.col("y") * F.col("x") ** k).alias(f"t{k}") for k in range(3)))
+    s = p.groupBy(*keys).agg(F.count_if("fit").alias("s0"), *(power(F.col("u") ** k).alias(f"s{k}") for k in range(1, 5)), *(power(F.col("y") * F.col("u") ** k).alias(f"t{k}") for k in range(3)))
     det = lambda a, b, c, d, e, f, g, h, i: a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
     s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
     base = det(s0, s1, s2, s1, s2, s3, s2, s3, s4)
-    enough = F.when(F.col("s0") < least, F.raise_error(F.concat(F.lit("too few features vary in "), F.col(by).cast("string"))).cast("double")).otherwise(base)
-    coef = s.withColumn("base", enough).select(by, (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / F.col("base")).alias("c0"), (det(s0, t0, s2, s1, t1, s3, s2, t2, s4) / F.col("base")).alias("c1"), (det(s0, s1, t0, s1, s2, t1, s2, s3, t2) / F.col("base")).alias("c2"))
-    out = p.join(coef, by)
-    fitted = F.when(F.col("fit"), F.col("c0") + F.col("c1") * F.col("x") + F.col("c2") * F.col("x") ** 2).otherwise(0.0)
-    return out.withColumn("reg_std", F.sqrt(F.pow(F.lit(10.0), fitted))).drop("x", "y", "fit", "c0", "c1", "c2")
+    enough = F.when(F.col("s0") < least, F.raise_error(F.concat(F.lit("too few features vary in "), F.col(keys[0]).cast("string"))).cast("double")).otherwise(base)
+    coef = s.withColumn("base", enough).select(*keys, (det(t0, s1, s2, t1, s2, s3, t2, s3, s4) / F.col("base")).alias("c0"), (det(s0, t0, s2, s1, t1, s3, s2, t2, s4) / F.col("base")).alias("c1"), (det(s0, s1, t0, s1, s2, t1, s2, s3, t2) / F.col("base")).alias("c2"))
+    out = p.join(coef, keys)
+    fitted = F.when(F.col("fit"), F.col("c0") + F.col("c1") * F.col("u") + F.col("c2") * F.col("u") ** 2).otherwise(0.0)
+    return out.withColumn("reg_std", F.sqrt(F.pow(F.lit(10.0), fitted))).drop("x", "y", "u", "cx", "fit", "c0", "c1", "c2", "_all")
 
 
-def normalised_variance(obs: DataFrame, counts: DataFrame, by: str) -> DataFrame:
-    """Variance of clipped, standardised values of every feature in each group."""
+def normalised_variance(obs: DataFrame, counts: DataFrame, by: str | None = None) -> DataFrame:
+    """Variance of clipped, standardised values of every feature, in each group or over all observations.
+
+    Values meet the clips of their group and feature by a join that Spark broadcasts only where its own figures allow it.
+    """
+    keys = [by] if by else []
     trend = variance_trend(feature_moments(obs, counts, by), by)
     trend = trend.withColumn("clip", F.col("reg_std") * F.sqrt("n_cells") + F.col("mean"))
-    rows = valid_values(counts).join(obs.select("obs_id", by), "obs_id").join(F.broadcast(trend.select(by, "feature_id", "clip")), [by, "feature_id"])
+    rows = valid_values(counts).join(obs.select("obs_id", *keys), "obs_id").join(trend.select(*keys, "feature_id", "clip"), [*keys, "feature_id"])
     v = F.least("value", "clip")
-    sums = rows.groupBy(by, "feature_id").agg(F.sum(v).alias("c1"), F.sum(v * v).alias("c2"))
-    out = trend.join(sums, [by, "feature_id"], "left").fillna(0.0, ["c1", "c2"])
+    sums = rows.groupBy(*keys, "feature_id").agg(F.sum(v).alias("c1"), F.sum(v * v).alias("c2"))
+    out = trend.join(sums, [*keys, "feature_id"], "left").fillna(0.0, ["c1", "c2"])
     n, m = F.col("n_cells"), F.col("mean")
     return out.withColumn("norm_var", (n * m * m + F.col("c2") - 2 * m * F.col("c1")) / ((n - 1) * F.col("reg_std") ** 2))
 
 
-def select_variable(obs: DataFrame, counts: DataFrame, n_top: int = 2000, by: str = "population") -> DataFrame:
-    """The n_top features by the median of their ranks in the groups where they are among the n_top; ties go to more groups, then the lesser id."""
+def select_variable(obs: DataFrame, counts: DataFrame, n_top: int = 2000, by: str | None = "population") -> DataFrame:
+    """The n_top features by the median of their ranks in the groups where they are among the n_top; ties go to more groups,
+    then the lesser id. Without by, all observations are one group and the rank in it counts."""
     nv = normalised_variance(obs, counts, by)
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("norm_var").desc(), "feature_id"))
-    top = nv.withColumn("rank", rank).where(F.col("rank") <= n_top)
+    order = (F.col("norm_var").desc(), "feature_id")
+    if by is None:
+        best = nv.select("feature_id", "norm_var").orderBy(*order).limit(n_top)  # n_top rows
+        rank = F.row_number().over(W.orderBy(*order)).cast("double")
+        return best.select("feature_id", rank.alias("median_rank"), F.lit(1).cast("long").alias("n_groups")).orderBy("median_rank")
+    top = nv.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n_top)
     best = top.groupBy("feature_id").agg(F.median("rank").alias("median_rank"), F.count("*").alias("n_groups"))
     return best.orderBy("median_rank", F.col("n_groups").desc(), "feature_id").limit(n_top)
 
@@ -71,6 +86,12 @@ def placed(top: DataFrame) -> DataFrame:
     return top.select((F.row_number().over(order) - 1).cast("long").alias("place"), "feature_id")
 
 
+def library_size(obs: DataFrame, counts: DataFrame) -> DataFrame:
+    """obs with total, the sum of the valid values of each observation; 0 without any."""
+    sums = valid_values(counts).groupBy("obs_id").agg(F.sum("value").alias("total"))
+    return obs.join(sums, "obs_id", "left").fillna(0.0, ["total"])
+
+
 def log_normalise(counts: DataFrame, target: float = 10000.0) -> DataFrame:
     """obs_id, feature_id, value = log1p(count * target / total of the observation)."""
     valid = valid_values(counts)
@@ -78,6 +99,21 @@ def log_normalise(counts: DataFrame, target: float = 10000.0) -> DataFrame:
     return valid.select("obs_id", "feature_id", F.log1p(F.col("value") * target / total).alias("value"))
 
 
+def padded_tokens(tokens: DataFrame, length: int, pad_id: int = 0, start: tuple[int, float] | None = None) -> DataFrame:
+    """obs_id, features, values: the tokens of each observation (obs_id, feature_id, position, value) in order as arrays of one
+    length, filled up with pad_id and 0.
+
+    start, if given, is a feature and value that every row begins with; it takes one of the places. Tokens beyond the length
+    are left out. Observations without tokens have no row.
+    """
+    held = tokens.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("feature_id").cast("int").alias("f"), F.col("value").cast("double").alias("v")))).alias("e"))
+    head = F.array(F.struct(F.lit(start[0]).alias("f"), F.lit(float(start[1])).alias("v"))) if start else F.array().cast("array<struct<f:int,v:double>>")
+    body = F.concat(head, F.transform("e", lambda e: F.struct(e["f"].alias("f"), e["v"].alias("v"))))
+    fill = F.array_repeat(F.struct(F.lit(pad_id).alias("f"), F.lit(0.0).alias("v")), length)
+    row = held.select("obs_id", F.slice(F.concat(body, fill), 1, length).alias("e"))
+    return row.select("obs_id", F.col("e.f").alias("features"), F.col("e.v").alias("values"))
+
+
 def feature_tokens(normal: DataFrame, k: int) -> DataFrame:
     """The k features of each observation with the greatest values; position, and weight in percent of the k."""
     order = W.partitionBy("obs_id").orderBy(F.col("value").desc(), "feature_id")

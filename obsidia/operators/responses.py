@@ -84,10 +84,10 @@ def dose_merge(rows: DataFrame) -> DataFrame:
     return rows.groupBy("population", "drug", "feature_id").agg(mean("predicted"), mean("observed"), mean("control"), F.count("*").alias("n_doses"))
 
 
-def disentanglement(rows: DataFrame) -> DataFrame:
-    """1 - var(rest) / var(difference), in [0, 1], where the rest is what the means of population and drug leave; null
+def disentanglement(rows: DataFrame, side: str = "observed") -> DataFrame:
+    """Of the differences of side (observed or predicted) from control: 1 - var(rest) / var(difference), in [0, 1], where the rest is what the means of population and drug leave; null
     under three (population, drug) rows."""
-    d = rows.select("population", "drug", "feature_id", (F.col("observed") - F.col("control")).alias("delta"))
+    d = rows.select("population", "drug", "feature_id", (F.col(side) - F.col("control")).alias("delta"))
     grand = F.avg("delta").over(W.partitionBy("feature_id"))
     rest = F.col("delta") + grand - F.avg("delta").over(W.partitionBy("feature_id", "population")) - F.avg("delta").over(W.partitionBy("feature_id", "drug"))
     out = d.withColumn("rest", rest).agg(F.var_pop("rest").alias("a"), F.var_pop("delta").alias("b"), F.count_distinct("population", "drug").alias("n"))
@@ -95,22 +95,27 @@ def disentanglement(rows: DataFrame) -> DataFrame:
 
 
 def biological(rows: DataFrame) -> DataFrame:
-    """Per population: correlation, sign agreement and magnitudes of the mean differences."""
+    """Per population: correlation, sign agreement and magnitudes of the mean differences; no correlation (null) where either
+    side hardly varies."""
     mean = rows.groupBy("population", "feature_id").agg(F.avg(F.col("predicted") - F.col("control")).alias("p"), F.avg(F.col("observed") - F.col("control")).alias("o"))
-    return mean.groupBy("population").agg(F.corr("p", "o").alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
+    return mean.groupBy("population").agg(F.when((F.stddev_pop("p") > 1e-12) & (F.stddev_pop("o") > 1e-12), F.corr("p", "o")).alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
 
 
-def discrimination(rows: DataFrame, distance: str = "euclidean", block: int = BLOCK) -> DataFrame:
+def discrimination(rows: DataFrame, distance: str = "euclidean", block: int = BLOCK, overall: bool = False) -> DataFrame:
     """Per population 1 - 2 * mean(rank / n): rank counts the observed vectors nearer to a prediction than its own, by more
     than 1e-12; n counts those that share a feature with it.
 
     distance is euclidean or cityblock. rows hold one row per condition and feature; features that either vector lacks, null
     or NaN values take no part. Rows without a population are left out. Conditions are dealt to blocks by a hash, and each
-    pair of blocks of a population is compared in one task, so that pairs of conditions are no rows.
+    pair of blocks of a population is compared in one task, so that pairs of conditions are no rows. With overall, conditions of
+    all populations are compared with each other, and one row (pds) results.
     """
     if distance not in ("euclidean", "cityblock"):
         raise ValueError(f"no such distance: {distance}")
-    key = F.concat_ws("|", "drug", F.col("dose").cast("string"))
+    key = F.concat_ws("|", *(["population"] if overall else []), "drug", F.col("dose").cast("string"))
+    if overall:
+        rows = rows.where("population is not null").withColumns({"drug": key, "dose": F.lit(None).cast("double"), "population": F.lit("all")})
+        return discrimination(rows, distance, block).select("pds")
     named = rows.where("population is not null").select("population", key.alias("i"), "feature_id", "predicted", "observed")
     blocks_of = named.groupBy("population").agg(F.ceil(F.count_distinct("i") / block).cast("int").alias("blocks"))
     v = vectors(named, ["population", "i"], ["predicted", "observed"]).join(blocks_of, "population")

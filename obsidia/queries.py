@@ -317,7 +317,7 @@ def mmd_rbf(spark, d):
 
 @query(f"""{PREDICTED}, t as (select population, drug, dose, feature_id, (mean - m0) / sqrt(variance / n_cells + v0 / n0) as t from a join c using (population, feature_id)),
 marks as (select population, drug, dose, feature_id, row_number() over (partition by population, drug, dose order by abs(t) desc, feature_id) <= {TOP_FEATURES} as hit from t),
-l as (select population, drug, dose, feature_id, case when hit then 1 else 0 end as hit, round(abs(predicted - control), 9) as sp, round(abs(observed - control), 9) as so from pred join marks using (population, drug, dose, feature_id)),
+l as (select population, drug, dose, feature_id, case when hit then 1 else 0 end as hit, abs(predicted - control) as sp, abs(observed - control) as so from pred join marks using (population, drug, dose, feature_id)),
 r as (select *, row_number() over w as place, sum(hit) over (w rows unbounded preceding) as above, row_number() over (partition by population, drug, dose order by hit desc, so desc, feature_id) as tp
   from l window w as (partition by population, drug, dose order by sp desc, feature_id))
 select population, drug, dose, round(sum((1 - hit) * above) / (sum(hit) * sum(1 - hit)), 6) as deg_auroc, round(sum(hit * above / place) / sum(hit), 6) as deg_auprc,
@@ -352,4 +352,4 @@ def population_rollup(spark, d):
 @query("select population, drug, dose, match_group, count(*) as n_cells from obs where not is_control group by all")
 def condition_group_census(spark, d):
     return dt.observations(spark, d).where("not is_control").groupBy(*KEYS, "match_group").agg(F.count("*").alias("n_cells"))
-from obsidia import queries_graphs, queries_inputs, queries_samples, queries_sources, queries_tables  # noqa: E402, F401  register the queries of the other modules
+from obsidia import queries_evaluation, queries_graphs, queries_inputs, queries_samples, queries_sources, queries_tables  # noqa: E402, F401  register the queries of the other modules
