@@ -11,8 +11,9 @@ from obsidia.llm.common import small_batches, table, text_slices
 
 #: n-grams of 1 to ORDER characters are hashed to WIDTH presence bits.
 ORDER, WIDTH = 3, 1 << 14
-#: At most so many labelled rows of a language are read for training; LANDMARKS of them, dealt evenly, are landmarks.
-ROWS_PER_LANG, LANDMARKS, RIDGE = 250, 128, 1e-2
+#: At most so many labelled rows of a language are read for training. LANDMARKS of them, dealt evenly over the languages,
+#: are landmarks, but no fewer than LANDMARKS_PER_LANG of each language, however many there are.
+ROWS_PER_LANG, LANDMARKS, LANDMARKS_PER_LANG, RIDGE = 250, 128, 8, 1e-2
 UNKNOWN = "und"
 
 
@@ -52,17 +53,35 @@ def _letter(codes: np.ndarray) -> np.ndarray:
     return _letters[np.minimum(codes, 0x10FFFF)]
 
 
+def packed(texts: list[str]) -> list[bytes]:
+    """The presence bits of each text, WIDTH / 8 bytes."""
+    return [row.tobytes() for row in np.packbits(presence(texts) > 0, axis=1)]
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Presence bits scaled to unit length, as `presence` gives them."""
+    bits = np.unpackbits(np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), WIDTH // 8), axis=1).astype(np.float32)
+    return bits / np.maximum(np.sqrt(bits.sum(axis=1, keepdims=True)), 1)
+
+
 class Model:
-    """Scores of the languages by batched matrix products: texts x landmarks kernel, then the ridge weights."""
+    """Scores of the languages by batched matrix products: texts x landmarks kernel, then the ridge weights.
+
+    Trained from presence bits (see `packed`) and languages. What is broadcast are the landmarks' bits, 2 kB each, a root of
+    landmarks x landmarks and landmarks x languages weights.
+    """
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, bits: list[bytes], langs: list[str]):
         self.langs = sorted(set(langs))
-        y = np.array([self.langs.index(v) for v in langs])
-        rank = np.array([np.sum(y[:i] == y[i]) for i in range(len(y))])  # dealt evenly over the languages
-        self.landmarks = presence([texts[i] for i in np.argsort(rank, kind="stable")[:LANDMARKS]])
-        kernel = np.concatenate([presence(texts[i : i + 32]) @ self.landmarks.T for i in range(0, len(texts), 32)])
-        k_mm = self.landmarks @ self.landmarks.T
-        values, vectors = np.linalg.eigh(k_mm.astype(np.float64))
+        y = np.searchsorted(self.langs, langs)
+        order = np.argsort(y, kind="stable")
+        rank = np.empty(len(y), dtype=np.int64)
+        rank[order] = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+        n = max(LANDMARKS, LANDMARKS_PER_LANG * len(self.langs))
+        self.bits = [bits[i] for i in np.argsort(rank, kind="stable")[:n]]  # dealt evenly over the languages
+        landmarks = self.landmarks
+        kernel = np.concatenate([unpacked(bits[i : i + 256]) @ landmarks.T for i in range(0, len(bits), 256)])
+        values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
         good = values > 1e-6 * values.max()
         self.root = vectors[:, good] / np.sqrt(values[good])
         phi = np.c_[kernel @ self.root, np.ones(len(kernel))]
@@ -71,6 +90,16 @@ class Model:
         a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1]) / len(self.langs)
         self.weights = np.linalg.solve(a, (phi * weight[:, None]).T @ target)
 
+    @property
+    def landmarks(self) -> np.ndarray:
+        """(landmarks, WIDTH), unpacked where it is first used."""
+        if "_landmarks" not in self.__dict__:
+            self._landmarks = unpacked(self.bits)
+        return self._landmarks
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_landmarks"}
+
     def scores(self, texts: list[str]) -> np.ndarray:
         k = presence(texts) @ self.landmarks.T
         return np.c_[k @ self.root, np.ones(len(k))] @ self.weights
@@ -80,15 +109,28 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def _bits(batches):
+    for part in text_slices(batches, limit=256 << 10):
+        texts = part.column("text").to_pylist()
+        bits = [x for i in range(0, len(texts), 64) for x in packed(texts[i : i + 64])]
+        yield pa.record_batch([part.column("doc_id"), part.column("lang"), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
+
+
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
-    """Learns from the rows of each language that come first by a hash of doc_id, at most rows_per_lang each, not held out."""
+    """Learns from the rows of each language that come first by a hash of doc_id, at most rows_per_lang each, not held out.
+
+    Presence bits are made where the texts are; the driver gets 2 kB for each training row. Of a repeated doc_id one row
+    counts, that of the least language and bits.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     pick = known.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows_per_lang)
     pick = pick.select("doc_id").distinct()
-    rows = known.join(F.broadcast(pick), "doc_id").select("doc_id", "lang", "text").dropDuplicates(["doc_id"]).collect()
+    chosen = known.join(F.broadcast(pick), "doc_id").select("doc_id", "lang", "text")  # rows_per_lang ids of each language
+    bits = chosen.mapInArrow(_bits, "doc_id long, lang string, bits binary")
+    rows = bits.groupBy("doc_id").agg(F.min(F.struct("lang", "bits")).alias("m")).select("doc_id", "m.*").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return Model([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    return Model([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
 def _predict(batches, shared, added, keep_text=False):
@@ -115,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     lang_pred is a learned language, or `und` with score 0 where the text is null or has no letter or nothing was
     learned. Rows with equal doc_id are predicted each by its own text; a null doc_id is not held out. Columns other
-    than doc_id and text are not read. The model is broadcast: LANDMARKS x WIDTH floats (8 MB) whatever the input.
+    than doc_id and text are not read. The model is broadcast; its size depends on the number of languages alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
