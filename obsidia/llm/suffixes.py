@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsidia.llm.common import hinted, store, table
+from obsidia.operators.numbering import numbered
 
 SPAN, K = 100, 32
 GRAMS = SPAN - K + 1
@@ -258,18 +259,15 @@ def _merge(batches):
         yield pa.record_batch([batch.column("doc_id"), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "cuts"])
 
 
-def single_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text of the rows whose doc_id has one text, equal rows as often as they stand."""
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+def several_texts(keyed: DataFrame) -> bool:
+    """Some doc_id has rows with different texts."""
     texts = keyed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
-    odd = store(texts.where("lo <> hi").select("doc_id"))
-    return keyed if odd.isEmpty() else keyed.join(hinted(odd, 16), "doc_id", "left_anti")
+    return not texts.where("lo <> hi").isEmpty()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(keyed: DataFrame) -> DataFrame:
     """doc_id, cuts: starts and ends, in turn, of the byte runs of a document that strings of SPAN bytes cover which also
-    start earlier, in a smaller doc_id or the same document."""
-    keyed = single_texts(docs)
+    start earlier, in a smaller doc_id or the same document. keyed: doc_id and text, not null, a text for each doc_id."""
     runs = keyed.mapInArrow(_runs, "key long, ctx long, doc_id long, at long")
     shared = store(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     runs = store(runs.join(shared, "key"))  # both grow with the corpus: never a broadcast by hint
@@ -316,14 +314,23 @@ def dedupe_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the bytes kept, of every row.
 
     Removed is each byte that a string of SPAN bytes covers which also starts earlier: in a document with a smaller id, or
-    before it in the same one. Strings are judged on the input. Null and empty texts have no bytes; rows with a null doc_id,
-    or with a doc_id that has several texts, which no order tells apart, neither lose bytes nor take others'; equal rows are
-    one document, so each loses what one would. Bytes, not characters, are cut, so a character may be split. Other columns are not read; an empty table gives no rows.
+    before it in the same one. Strings are judged on the input. Null and empty texts have no bytes; rows with a null doc_id
+    neither lose bytes nor take others'. Equal rows are one document, so each loses what one would; rows with one doc_id
+    and different texts are documents each, ordered among themselves by a hash of the text. Bytes, not characters, are cut,
+    so a character may be split. Other columns are not read; an empty table gives no rows.
     """
-    cuts = store(repeated_spans(docs))
-    joined = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
+    docs = docs.select("doc_id", "text")
+    keyed = docs.where("doc_id is not null and text is not null")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "cuts").mapInArrow(lambda it: _cut(it, with_text), schema)
+    cut = lambda rows: rows.select("doc_id", "text", "cuts").mapInArrow(lambda it: _cut(it, with_text), schema)
+    if not several_texts(keyed):
+        return cut(docs.join(store(repeated_spans(keyed)), "doc_id", "left"))
+    hashed = keyed.withColumn("h", F.xxhash64("text"))
+    places = store(numbered(hashed.select("doc_id", "h").distinct(), [], ["doc_id", "h"], "place"))
+    cuts = store(repeated_spans(hashed.join(places, ["doc_id", "h"]).select(F.col("place").alias("doc_id"), "text")))
+    named = places.join(cuts.withColumnRenamed("doc_id", "place"), "place").select("doc_id", "h", "cuts")
+    rows = docs.withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    return cut(rows.join(named, ["doc_id", "h"], "left"))
 
 
 def op3_suffix_dedup(spark, sf_dir):
