@@ -71,9 +71,11 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose document holds no item. Rows with a null id or text stay."""
-    bad = contamination(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, all columns, whose text holds no item. Every row is judged by its own text, so rows that share an id
+    don't share a verdict. Rows with a null id or text stay."""
+    key = F.when(docs["doc_id"].isNotNull() & docs["text"].isNotNull(), F.xxhash64(docs["text"]))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("held")).distinct()
+    return docs.join(bad, key == bad["held"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_decontaminate(spark, sf_dir):
