@@ -20,23 +20,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of each class of near-duplicate lines; texts and n_chars follow."""
+    """Keeps one line of each class of near-duplicate lines; texts and n_chars follow. Null ids and texts stay as they are, and a
+    document whose every line goes keeps an empty text."""
     return lines.without_duplicates(docs)
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
-    kept = near_duplicates.classes(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keeps one document of each class of near duplicates. Rows are judged by their own text: of a repeated id with different
+    texts each stays or goes for itself; of rows equal in id and text one stays; rows with a null id or text stay."""
+    return near_duplicates.without_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, each judged by its own text; null ids and texts stay."""
     return benchmarks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows."""
+    """Packs what is left into windows; an empty text is its end mark alone."""
     return packing.pack(docs)
 
 
@@ -47,11 +48,12 @@ STAGES = [
     ("decontaminate", decontaminate),
     ("pack", pack),
 ]
-#: SQL can't express the classifier, MinHash classes or the tokenizer; tests compare with brute force.
+#: SQL can't express the classifier, MinHash classes or the tokenizer; tests/llm compare run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. An empty table gives none; repeated rows, nulls and ties are treated as each stage says."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
