@@ -74,7 +74,7 @@ def standardise(vectors: DataFrame, column: str = "vector", least: float = 0.01)
     one = stats.agg(stays.alias("stats"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # one row, as wide as a vector
     fault = F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("the vectors have different widths"))).when(F.size("stats") == 0, F.raise_error(F.lit("no component varies")))
     one = one.select(F.coalesce(fault.cast("array<struct<at:int,mean:double,sd:double>>"), F.col("stats")).alias("_stats"))
-    scaled = F.transform("_stats", lambda s: (F.get("_x", s["at"]) - s["mean"]) / s["sd"])
+    scaled = F.when(F.col("_x").isNotNull(), F.transform("_stats", lambda s: (F.get("_x", s["at"]) - s["mean"]) / s["sd"]))
     return vectors.withColumn("_x", x).crossJoin(F.broadcast(one)).select(*(scaled.alias(c) if c == column else F.col(f"`{c}`") for c in vectors.columns), F.col("_stats.at").alias("kept"))
 
 

@@ -16,7 +16,7 @@ def read_documents(spark: SparkSession, paths: str | list[str], pattern: str = "
     paths are files or folders, searched through; files that begin with _ or . don't count. Members that a document lacks
     are null, but a missing model is default_model. A file that is no JSON object fails the query that reads it.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     files = files.select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"))
     schema = ", ".join(f"{c} string" for c in (*TEXTS, *SUMMARIES))
     read = F.from_json("value", schema, {"mode": "FAILFAST"})

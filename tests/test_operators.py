@@ -1,5 +1,6 @@
 """Errors, nulls, ties and empty tables of the core operators, and planted signals."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -64,7 +65,10 @@ def test_sources(spark, tmp_path):
 def test_sampling_and_summaries(spark):
     obs = spark.createDataFrame([("a", i) for i in range(3)], "population string, obs_id long")
     got = sampling.sample_sets(obs, ["population"], 7, "s").collect()
-    assert sorted(r.slot for r in got) == list(range(7)) and max([r.obs_id for r in got].count(i) for i in range(3)) == 3
+    # fewer rows than slots: drawn with replacement, by a hash of salt, key and slot
+    order = sorted(range(3), key=lambda i: hashlib.sha256(f"s:{i}".encode()).hexdigest())
+    want = [(s, order[int(hashlib.sha256(f"s:a:{s}".encode()).hexdigest()[:12], 16) % 3]) for s in range(7)]
+    assert sorted((r.slot, r.obs_id) for r in got) == want
     assert len({r.obs_id for r in sampling.sample_sets(obs, ["population"], 2, "s").collect()}) == 2
     deg = spark.createDataFrame([("a", 1, -2.0, True), ("a", 2, 2.0, True), ("a", 3, 9.0, False), ("a", 4, None, True)], "population string, feature_id int, delta double, mask boolean")
     assert rows(sampling.top_features(deg, ["population"], 3)) == [("a", 1, 1), ("a", 2, 2)]
