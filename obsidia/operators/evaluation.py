@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from obsidia.operators import distances, responses
 from obsidia.operators.census import CONDITION
 from obsidia.operators.significance import _null_safe
-from obsidia.operators.summaries import finite
+from obsidia.operators.summaries import correlation, finite
 
 METRICS = ("r2", "pearson", "pearson_delta", "direction_accuracy", "mse", "wasserstein", "mmd", "sinkhorn")
 DEG_METRICS = ("deg_auroc", "deg_auprc", "deg_overlap")
@@ -34,8 +34,7 @@ def biological_score(rows: DataFrame) -> DataFrame:
     """One row: mean_pearson (of the populations that have one), mean_direction, magnitude_pearson (between the populations'
     mean sizes of predicted and observed differences) and score, the mean of those that are not null."""
     by = responses.biological(rows)
-    p, o = F.col("predicted_size"), F.col("observed_size")
-    size = F.when((F.stddev_pop(p) > 1e-12) & (F.stddev_pop(o) > 1e-12), F.corr(p, o))
+    size = correlation("predicted_size", "observed_size")
     one = by.agg(F.avg(finite("pearson")).alias("mean_pearson"), F.avg("direction").alias("mean_direction"), size.alias("magnitude_pearson"))
     parts = F.array_compact(F.array("mean_pearson", "mean_direction", "magnitude_pearson"))
     return one.withColumn("score", F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.size(parts)))

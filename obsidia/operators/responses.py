@@ -10,6 +10,7 @@ from obsidia.operators.blocks import BLOCK, dense, vectors
 from obsidia.operators.census import CONDITION
 from obsidia.operators.features import group_means, group_moments
 from obsidia.operators.significance import benjamini_hochberg  # noqa: F401  kept here for those who import it from here
+from obsidia.operators.summaries import correlation
 
 
 def missing_controls(obs: DataFrame) -> DataFrame:
@@ -66,13 +67,12 @@ def predictions(obs: DataFrame, values: DataFrame) -> DataFrame:
 def condition_metrics(rows: DataFrame, keys=CONDITION) -> DataFrame:
     """mse, r2, Pearson of values and of differences from control, and agreement of signs, in one pass over (keys, feature)."""
     p, o, c = F.col("predicted"), F.col("observed"), F.col("control")
-    safe = lambda a, b: F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.corr(a, b))
     sst = F.var_pop(o) * F.count("*")
     return rows.groupBy(*keys).agg(
         F.avg((p - o) ** 2).alias("mse"),
         F.when(sst >= 1e-12, 1 - F.sum((p - o) ** 2) / sst).alias("r2"),
-        safe(p, o).alias("pearson"),
-        safe(p - c, o - c).alias("pearson_delta"),
+        correlation(p, o).alias("pearson"),
+        correlation(p - c, o - c).alias("pearson_delta"),
         F.avg((F.signum(p - c) == F.signum(o - c)).cast("double")).alias("direction_accuracy"),
     )
 
@@ -98,7 +98,7 @@ def biological(rows: DataFrame) -> DataFrame:
     """Per population: correlation, sign agreement and magnitudes of the mean differences; no correlation (null) where either
     side hardly varies."""
     mean = rows.groupBy("population", "feature_id").agg(F.avg(F.col("predicted") - F.col("control")).alias("p"), F.avg(F.col("observed") - F.col("control")).alias("o"))
-    return mean.groupBy("population").agg(F.when((F.stddev_pop("p") > 1e-12) & (F.stddev_pop("o") > 1e-12), F.corr("p", "o")).alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
+    return mean.groupBy("population").agg(correlation("p", "o").alias("pearson"), F.avg((F.signum("p") == F.signum("o")).cast("double")).alias("direction"), F.avg(F.abs("p")).alias("predicted_size"), F.avg(F.abs("o")).alias("observed_size"))
 
 
 def discrimination(rows: DataFrame, distance: str = "euclidean", block: int = BLOCK, overall: bool = False) -> DataFrame:

@@ -10,6 +10,12 @@ def finite(c) -> F.Column:
     return F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
 
 
+def correlation(a, b) -> F.Column:
+    """Pearson's correlation as an aggregate; null where either side hardly varies (a deviation of 1e-12 or less)."""
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((sa > 1e-12) & (sb > 1e-12), F.covar_pop(a, b) / F.nullif(sa * sb, F.lit(0.0)))
+
+
 def record_summary(records: DataFrame, metrics: list[str], keys=()) -> DataFrame:
     """keys, n_conditions and the mean of the finite values of each metric; null where there is none."""
     return records.groupBy(*keys).agg(F.count("*").alias("n_conditions"), *(F.avg(finite(m)).alias(m) for m in metrics))
