@@ -77,8 +77,7 @@ def _median_gap(v: np.ndarray) -> float:
 
     def at(rank):
         """The distance of that rank, from 1, by halving the bits of the distance."""
-        lo, hi = 0.0, float(v[-1] - v[0])
-        lo, hi = np.float64(lo).view(np.int64), np.float64(hi).view(np.int64)
+        lo, hi = 0, int(np.float64(v[-1] - v[0]).view(np.int64))
         while lo < hi:
             mid = (lo + hi) // 2
             gap = np.int64(mid).view(np.float64)

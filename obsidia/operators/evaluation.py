@@ -5,13 +5,21 @@ from pyspark.sql import functions as F
 
 from obsidia.operators import distances, responses
 from obsidia.operators.census import CONDITION
-from obsidia.operators.significance import _null_safe
 from obsidia.operators.summaries import correlation, finite
 
 METRICS = ("r2", "pearson", "pearson_delta", "direction_accuracy", "mse", "wasserstein", "mmd", "sinkhorn")
 DEG_METRICS = ("deg_auroc", "deg_auprc", "deg_overlap")
 
 
+def _beside(parts: list[DataFrame], keys: list[str], names: list[str]) -> DataFrame:
+    """keys and names of tables that have each some of names for a group of keys: laid below each other and gathered by keys,
+    so that null keys meet and the plan has no chain of joins."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*(F.max(c).alias(c) for c in names))
+
+
 def all_metrics(rows: DataFrame, features: DataFrame | None = None, marks: DataFrame | None = None, top_k: int = 50, keys=CONDITION) -> DataFrame:
     """keys and METRICS of each condition, over the given features (feature_id) or all; with marks (keys, feature_id) also
     DEG_METRICS, which rank all features, and n_marks, how many features are marked.
@@ -21,13 +29,15 @@ def all_metrics(rows: DataFrame, features: DataFrame | None = None, marks: DataF
     """
     keys = list(keys)
     part = rows if features is None else rows.join(features.select("feature_id").distinct(), "feature_id", "left_semi")
-    out = responses.condition_metrics(part, keys)
-    for more in (distances.wasserstein(part, keys), distances.mmd_rbf(part, keys), distances.sinkhorn(part, keys)):
-        out = _null_safe(out, more, keys, "left")
+    base = responses.condition_metrics(part, keys).withColumn("_there", F.lit(1))
+    parts = [base, distances.wasserstein(part, keys), distances.mmd_rbf(part, keys), distances.sinkhorn(part, keys)]
+    names = list(METRICS)
     if marks is not None:
         n = rows.select(*keys, "feature_id").join(marks.select(*keys, "feature_id").distinct(), [*keys, "feature_id"], "left_semi").groupBy(*keys).agg(F.count("*").alias("n_marks"))
-        out = _null_safe(_null_safe(out, distances.deg_ranking(rows, marks, top_k, keys), keys, "left"), n, keys, "left").fillna(0, ["n_marks"])
-    return out.select(*keys, *METRICS, *((*DEG_METRICS, "n_marks") if marks is not None else ()))
+        parts += [distances.deg_ranking(rows, marks, top_k, keys), n]
+        names += [*DEG_METRICS, "n_marks"]
+    held = _beside(parts, keys, [*names, "_there"]).where("_there = 1").drop("_there")
+    return held.fillna(0, ["n_marks"]) if marks is not None else held
 
 
 def biological_score(rows: DataFrame) -> DataFrame:
@@ -49,13 +59,12 @@ def full_summary(rows: DataFrame, records: DataFrame, metrics, top_k: int | None
     Each part is one row; none depends on how many conditions there are. Without conditions all but n_conditions are null.
     """
     few = [F.count_if(F.coalesce("n_marks", F.lit(0)) < top_k).alias("n_few_marks")] if top_k is not None else []
-    out = records.agg(F.count("*").alias("n_conditions"), *(F.avg(finite(m)).alias(m) for m in metrics), *few)
+    parts = [records.agg(F.count("*").alias("n_conditions"), *(F.avg(finite(m)).alias(m) for m in metrics), *few)]
     for name, distance in (("pds", "cityblock"), ("pds_euclidean", "euclidean")):
-        out = out.crossJoin(F.broadcast(responses.discrimination(rows, distance).agg(F.avg("pds").alias(name))))
-        out = out.crossJoin(F.broadcast(responses.discrimination(rows, distance, overall=True).agg(F.max("pds").alias(f"{name}_global"))))
-    for one in (responses.disentanglement(rows, "predicted"), distances.covariance_score(rows).agg(F.max("css").alias("css")), biological_score(rows)):
-        out = out.crossJoin(F.broadcast(one))
-    return out
+        parts.append(responses.discrimination(rows, distance).agg(F.avg("pds").alias(name)))
+        parts.append(responses.discrimination(rows, distance, overall=True).agg(F.max("pds").alias(f"{name}_global")))
+    parts += [responses.disentanglement(rows, "predicted"), distances.covariance_score(rows), biological_score(rows)]
+    return _beside(parts, [], [c for part in parts for c in part.columns])
 
 
 def exported(rows: DataFrame, keys=CONDITION) -> DataFrame:
