@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-HEADLINE = ("filter_conditions", "condition_census", "feature_moments_by_population", "select_hvg", "feature_tokens", "pseudobulk", "welch_deg_mask", "wilcoxon_z", "condition_metrics", "pds", "split_combination", "ppi_edges")
+HEADLINE = ("filter_conditions", "condition_census", "feature_moments_by_population", "select_hvg", "feature_tokens", "pseudobulk", "welch_deg_mask", "wilcoxon_z", "condition_metrics", "pds", "split_combination", "ppi_edges", "wilcoxon_deg", "row_number_in_population", "sample_matched_control", "obs_to_canonical", "evaluation_summary")
 
 
 def main():

@@ -61,12 +61,12 @@ def read_matrix_market(spark: SparkSession, path: str, n_observations: int) -> D
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A Parquet, CSV, TSV or JSON-lines table by its suffix; a missing column is an error."""
+    """A Parquet, CSV, tab-separated (.tsv, .txt) or JSON-lines table by its suffix, gzipped or not; a missing column is an error."""
     kind = path.rstrip("/").removesuffix(".gz").rsplit(".", 1)[-1]
     if kind == "parquet":
         df = spark.read.parquet(path)
-    elif kind in ("csv", "tsv"):
-        df = spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else ",")
+    elif kind in ("csv", "tsv", "txt"):
+        df = spark.read.csv(path, header=True, sep="," if kind == "csv" else "\t")
     elif kind in ("json", "jsonl"):
         df = spark.read.json(path)
     else:
