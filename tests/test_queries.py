@@ -7,7 +7,7 @@ import pytest
 from obsidia.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
 
 
 def canonical(rows, names):
