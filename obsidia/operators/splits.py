@@ -16,14 +16,16 @@ def holdout_count(value, total: int) -> int:
     return value if isinstance(value, int) else max(1, round(value * total))
 
 
-def group_split(obs: DataFrame, external: DataFrame, keys, internal_fraction: float = 0.2, cap: int = 5000, seed: int = 42) -> DataFrame:
-    """obs_id, the condition and part of at most cap treated observations of each condition.
+def group_split(obs: DataFrame, external: DataFrame, keys, internal_fraction: float = 0.2, cap: int | None = 5000, seed: int = 42) -> DataFrame:
+    """obs_id, the condition and part of at most cap treated observations of each condition, or of all without a cap.
 
     external holds the keys held out. Elsewhere the first floor(n * (1 - internal_fraction)) by a seeded order train.
     """
     by = W.partitionBy(*CONDITION)
     treated = obs.where("not is_control").join(external.select(*keys, F.lit(True).alias("out")), list(keys), "left")
-    ranked = treated.withColumn("rank", F.row_number().over(by.orderBy(sample_order("obs_id", seed), "obs_id"))).where(F.col("rank") <= cap)
+    ranked = treated.withColumn("rank", F.row_number().over(by.orderBy(sample_order("obs_id", seed), "obs_id")))
+    if cap is not None:
+        ranked = ranked.where(F.col("rank") <= cap)
     n = F.count("*").over(by)
     part = F.when(F.col("out"), "external").when(F.col("rank") <= F.floor(n * (1 - internal_fraction) + 1e-9), "train").otherwise("internal")
     return ranked.select("obs_id", *CONDITION, part.alias("part"))
@@ -44,9 +46,9 @@ def split_unprofiled(obs: DataFrame, external_test_size, internal_fraction: floa
     return group_split(obs, chosen, ["drug"], internal_fraction, seed=seed)
 
 
-def split_combination(obs: DataFrame, external_test_size, internal_fraction: float = 0.2, seed: int = 42, disjoint: bool = True) -> DataFrame:
+def split_combination(obs: DataFrame, external_test_size, internal_fraction: float = 0.2, seed: int = 42, disjoint: bool = True, cap: int | None = 5000) -> DataFrame:
     """(population, drug) pairs held out; with disjoint no drug is held out in two populations. Populations with fewer drugs
-    choose first. Only this choice, over the table of pairs, runs in the driver."""
+    choose first. Only this choice, over the table of pairs, runs in the driver. cap as in `group_split`."""
     pairs = obs.where("not is_control").select("population", "drug", sample_order("drug", seed).alias("o")).distinct()
     by_population: dict = {}
     for r in pairs.orderBy("population", "o", "drug").toLocalIterator():
@@ -60,7 +62,7 @@ def split_combination(obs: DataFrame, external_test_size, internal_fraction: flo
         held += [(population, d) for d in free[:n]]
         used.update(free[:n])
     external = obs.sparkSession.createDataFrame(held, "population string, drug string")
-    return group_split(obs, external, ["population", "drug"], internal_fraction, seed=seed)
+    return group_split(obs, external, ["population", "drug"], internal_fraction, cap, seed)
 
 
 def split_counts(parts: DataFrame) -> DataFrame:

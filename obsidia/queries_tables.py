@@ -227,7 +227,7 @@ select obs_id, cast(2 as bigint) as n_parts from parts where held and not is_con
 def check_split_disjoint(spark, d):
     """Rows of the held-out part with dose 3 are planted in another part as well."""
     obs = dt.observations(spark, d)
-    parts = sp.split_combination(obs, 1, disjoint=False).select("obs_id", "part")
+    parts = sp.split_combination(obs, 1, disjoint=False, cap=None).select("obs_id", "part")
     external = parts.where("part = 'external'")
     extra = external.join(obs.where("dose = 3.0 and not is_control").select("obs_id"), "obs_id", "left_semi").withColumn("part", F.lit("planted"))
     return sp.overlapping_rows(parts.unionByName(extra))
