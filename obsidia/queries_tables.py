@@ -29,7 +29,7 @@ def long_to_sparse(spark, d):
 
 @query(DIGEST.format(ROWS.format("counts")))
 def wide_to_sparse(spark, d):
-    wide = dt.counts(spark, d).groupBy("obs_id").pivot("feature_id", BRANDS).agg(F.sum("value"))
+    wide = dt.counts(spark, d, by_observation=True).groupBy("obs_id").pivot("feature_id", BRANDS).agg(F.sum("value"))
     return _digest(sparse.wide_to_sparse(wide, {str(b): b for b in BRANDS}))
 
 

@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 
 CONTROL_PRIORITY = "4-NOT SPECIFIED"
 CONTROL = "DMSO"
+#: Rows of a partition where a step would else hold more, the larger the table.
+SHARE = 500_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shares(rows: DataFrame) -> int:
+    """How many partitions keep a partition under SHARE of these rows, so that no task's memory grows with the table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SHARE))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs_id, population, match_group, drug, dose, is_control: one row per order."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -30,12 +37,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """obs_id, feature_id, value: quantity of each brand in an order; repeated pairs are summed."""
+def counts(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, by_observation: bool = False) -> DataFrame:
+    """obs_id, feature_id, value: quantity of each brand in an order; repeated pairs are summed.
+
+    With of (obs_id, few rows) those of its orders only. by_observation deals them by obs_id into partitions of about SHARE
+    lines, which what follows by obs_id keeps.
+    """
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    if of is not None:
+        lines = lines.join(F.broadcast(of.select(F.col("obs_id").alias("l_orderkey"))), "l_orderkey", "left_semi")
     parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr("cast(substr(p_brand, 7) as int)").alias("feature_id"))
-    joined = lines.join(parts, "l_partkey")
-    return joined.groupBy(F.col("l_orderkey").cast("long").alias("obs_id"), "feature_id").agg(F.sum(F.col("l_quantity").cast("double")).alias("value"))
+    joined = lines.join(parts, "l_partkey").select(F.col("l_orderkey").cast("long").alias("obs_id"), "feature_id", F.col("l_quantity").cast("double").alias("value"))
+    if by_observation:
+        joined = joined.repartition(shares(lines), "obs_id")
+    return joined.groupBy("obs_id", "feature_id").agg(F.sum("value").alias("value"))
 
 
 #: The same views for DuckDB.
