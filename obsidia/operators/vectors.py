@@ -6,21 +6,30 @@ from pyspark.sql import functions as F
 
 from obsidia.operators.census import CONDITION, capped_sample
 from obsidia.operators.features import valid_values
+from obsidia.sources.shared import checkpointed
 
 #: Ids that are looked at together for gaps; the borders of these stretches are compared afterwards.
 STRETCH = 1 << 16
 
 
-def drug_responses(obs: DataFrame, values: DataFrame, drugs: DataFrame, most: int = 32, seed: int = 42) -> DataFrame:
+def chosen_observations(obs: DataFrame, drugs: DataFrame, most: int = 32, seed: int = 42) -> DataFrame:
+    """obs_id, drug: the observations that `drug_responses` takes, at most `most` of each condition; computed once."""
+    wanted = drugs.select("drug").where("drug is not null").distinct()
+    treated = obs.where("not is_control").join(wanted, "drug", "left_semi")
+    return checkpointed(capped_sample(treated, CONDITION, most, seed).select("obs_id", "drug"))
+
+
+def drug_responses(obs: DataFrame, values: DataFrame, drugs: DataFrame, most: int = 32, seed: int = 42, chosen: DataFrame | None = None) -> DataFrame:
     """drug, feature_id, response: the mean over at most `most` treated observations of each of a drug's conditions, zeros
     included, less the mean of all drugs; a row for each drug (of `drugs`) and feature that any of them shows.
 
-    The observations of a condition are chosen by a seeded order. A drug without observations is an error.
+    The observations of a condition are chosen by a seeded order; chosen may hold them already (`chosen_observations`). A drug
+    without observations is an error.
     """
     if most < 1:
         raise ValueError("at least one observation of a condition")
     wanted = drugs.select("drug").where("drug is not null").distinct()
-    chosen = capped_sample(obs.where("not is_control").join(wanted, "drug", "left_semi"), CONDITION, most, seed).select("obs_id", "drug")
+    chosen = chosen_observations(obs, drugs, most, seed) if chosen is None else chosen
     sizes = wanted.join(chosen.groupBy("drug").agg(F.count("*").alias("n")), "drug", "left")
     missing = sizes.where("n is null").select("drug").limit(8).collect()
     if missing:
@@ -46,6 +55,7 @@ def response_embedding(responses: DataFrame, n_components: int = 10) -> DataFram
     if n_components < 1:
         raise ValueError("at least one component")
     rows = responses.groupBy("drug").agg(F.array_sort(F.collect_list(F.struct("feature_id", "response"))).alias("v")).select("drug", array_to_vector(F.col("v.response")).alias("v"))
+    rows = checkpointed(rows)  # a row for each drug, read several times below
     head = rows.select(F.size(vector_to_array("v")).alias("n")).first()
     zero = F.array_repeat(F.lit(0.0), n_components)
     if head is None:
