@@ -175,7 +175,8 @@ def graph_stats(spark, d):
 def _graph_files(spark, d):
     """A knowledge graph CSV with more columns than needed, and a table of aliases."""
     path = new_path(spark, "graph")
-    lines = dt.load(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p")).distinct()
+    lines = dt.load(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("s"), F.col("l_partkey").cast("long").alias("p"))
+    lines = lines.repartition(dt.shares(lines), "s", "p").distinct()
     drug, gene = F.format_string("Supplier-%d", "s"), F.format_string("part %d", "p")
     turned = (F.col("s") + F.col("p")) % 2 == 0
     rows = lines.select(F.lit("r").alias("relation"), F.when(turned, "gene/protein").otherwise("drug").alias("x_type"), F.when(turned, gene).otherwise(drug).alias("x_name"), F.when(turned, "drug").otherwise("gene/protein").alias("y_type"), F.when(turned, drug).otherwise(gene).alias("y_name"), F.lit(0).alias("index"))
@@ -205,7 +206,7 @@ select (select count(*) from e) as typed_rows, count(*) as mapped_edges, count(d
   count(*) filter (s % 6 = 0) as alias_matched_rows from m""")
 def kg_stats(spark, d):
     triples, names, parts, drugs = _graph_files(spark, d)
-    return rounded(graph.typed_edge_stats(triples, names, parts, drugs), "drug_coverage")
+    return rounded(graph.typed_edge_stats(triples, names, parts, drugs, dt.shares(triples)), "drug_coverage")
 
 
 @query(f"""{VARIABLE}, r as (select *, row_number() over (partition by population order by norm_var desc, feature_id) as rk from nv),
