@@ -191,7 +191,8 @@ def materialise_tables(spark, d):
     read = lambda name: spark.read.parquet(paths[name])
     tokens = read("state_inputs").select("obs_id", F.get("features", F.lit(0)).alias("first_token"), F.size(F.filter("values", lambda v: v > 0)).cast("long").alias("n_tokens"), F.round(F.aggregate("values", F.lit(0.0), lambda a, b: a + b), 4).alias("token_sum"))
     vectors = read("hvg_expression").select("obs_id", F.round(F.get("vector", F.lit(0)), 4).alias("v11"))
-    return read("cell_metadata").select("obs_id", "condition_id", "row_id").join(tokens, "obs_id").join(vectors, "obs_id")
+    # all three have a row for each observation, however small their files: none may be sent to all tasks through the driver
+    return read("cell_metadata").select("obs_id", "condition_id", "row_id").hint("merge").join(tokens.hint("merge"), "obs_id").join(vectors.hint("merge"), "obs_id")
 
 
 @query(f"""{NORMAL}, t as (select obs_id, feature_id, row_number() over (partition by obs_id order by round(value, 9) desc, feature_id) as position from normal)
