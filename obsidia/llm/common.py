@@ -4,6 +4,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it is measured to be at most this many bytes.
 BROADCAST_BYTES = 8 << 20
-#: Buckets of at most so many ids are compared pair by pair; twice as many after each time that they have been split.
+#: Buckets of at most so many ids are compared pair by pair.
 FEW = 12
-#: Larger buckets are split by further minima, STEP of MARKS at a time, at first in TREES ways.
-TREES, STEP, MARKS = 3, 4, 24
+#: Larger ones are compared by blocks of about BLOCK ids, fewer if these have over 1,024 shingles, two in a task. Matrices have
+#: STRIP columns; shingles that so few pairs of a block pair share (RARE) are counted pair by pair.
+BLOCK, STRIP, RARE = 1024, 4096, 16
 #: Links that contraction has left are united in one task if they are counted to be at most so many (1.6 MB).
 FEW_LINKS = 100_000
 
@@ -99,8 +101,8 @@ def text_slices(batches, column: str = "text", limit: int = 2 << 20):
             yield batch.slice(start)
 
 
-def _unite(batches):
-    """Rows (v, p): the least vertex p of the component of each vertex of a few links (a, b)."""
+def _roots():
+    """A function from a vertex to its root, over its attribute parent; new vertices are roots."""
     parent: dict[int, int] = {}
 
     def root(v):
@@ -108,6 +110,14 @@ def _unite(batches):
             parent[v] = v = parent[parent[v]]
         return v
 
+    root.parent = parent
+    return root
+
+
+def _unite(batches):
+    """Rows (v, p): the least vertex p of the component of each vertex of a few links (a, b)."""
+    root = _roots()
+    parent = root.parent
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             x, y = root(a), root(b)
@@ -203,56 +213,133 @@ def _crossed(buckets: DataFrame, ratio: float) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _common(p: tuple, q: tuple) -> np.ndarray:
+    """How many numbers each list of p shares with each of q. Both are (numbers, lengths); a list holds a number once."""
+    if p is q:
+        known, often = np.unique(p[0], return_counts=True)
+        known = known[often > 1]
+    else:
+        known = np.intersect1d(p[0], q[0])
+    shape = len(p[1]), len(q[1])
+    sides, often = [], []
+    for values, lengths in (p, q):
+        col = np.searchsorted(known, values)
+        at = np.flatnonzero(np.append(known, 0)[col] == values) if len(known) else np.empty(0, dtype=np.int64)
+        at = at[np.argsort(col[at], kind="stable")]
+        at = at[col[at] < len(known)]
+        sides.append((np.repeat(np.arange(len(lengths)), lengths)[at], col[at]))
+        often.append(np.bincount(col[at], minlength=len(known)))
+    rare = often[0] * often[1] <= RARE
+    (row, col), (other, _) = sides
+    begin = np.cumsum(often[1]) - often[1]
+    mine = np.flatnonzero(rare[col])
+    times = often[1][col[mine]]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    cell = np.repeat(row[mine], times) * shape[1] + other[np.repeat(begin[col[mine]], times) + step]
+    out = np.bincount(cell, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
+    place = np.cumsum(~rare) - 1
+    sides = [(row[keep], place[col[keep]]) for row, col in sides for keep in [~rare[col]]]
+    for lo in range(0, int((~rare).sum()), STRIP):
+        dense = []
+        for (row, col), n in zip(sides, shape):
+            i, j = np.searchsorted(col, [lo, lo + STRIP])
+            dense.append(np.zeros((n, STRIP), dtype=np.float32))
+            dense[-1][row[i:j], col[i:j] - lo] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _bridge(table: pa.Table, ratio: float) -> pa.Table:
+    """Links (a, b) between the components c of two blocks (side 0 and 1, or one block with itself).
+
+    Ids are linked if the Jaccard similarity of their sets of one kind is at least ratio. All pairs are compared; of the links
+    those are returned that unite components which the ones before leave apart.
+    """
+    side, ids, c = (table.column(x).to_numpy() for x in ("side", "id", "c"))
+    sets = table.column("cells").combine_chunks()
+    kinds = len(sets[0])
+    sets = sets.flatten()
+    rows = [np.flatnonzero(side == x) for x in ((0, 1) if side.any() else (0,))]
+    x, y = rows[0], rows[-1]
+    like = np.zeros((len(x), len(y)), dtype=bool)
+    for kind in range(kinds):
+        lists = [sets.take(pa.array(r * kinds + kind)) for r in rows]
+        lists = [(v.flatten().to_numpy(), pa.compute.list_value_length(v).to_numpy()) for v in lists]
+        both = _common(lists[0], lists[-1]).astype(np.float64)
+        like |= (both > 0) & (both >= ratio * (lists[0][1][:, None] + lists[-1][1][None, :] - both))
+    i, j = np.nonzero(like & (c[x][:, None] != c[y][None, :]))
+    i, j = x[i], y[j]
+    ends = np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1)
+    root, found = _roots(), []
+    for at in np.unique(ends, axis=0, return_index=True)[1] if len(ends) else ():
+        v, w = root(int(c[i[at]])), root(int(c[j[at]]))
+        if v != w:
+            root.parent[max(v, w)] = min(v, w)
+            found.append(at)
+    found = np.array(found, dtype=np.int64)
+    a, b = ids[i[found]], ids[j[found]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _bridged(buckets: DataFrame, cells: DataFrame, ratio: float, scratch: list) -> DataFrame:
+    """Links (a, b) that unite what can be united in buckets of rows (key, id, c), from the sets of cells (id, cells).
+
+    The ids of a bucket are dealt into blocks by hash, those of a component that fills a block into blocks of their own; sets of
+    similar numbers of shingles lie together, so that a block has at most about BLOCK << 10 of them. Every block meets every
+    other one and itself, but for the blocks of one component. What a task holds is bounded; the work in a bucket grows
+    with its ids outside its largest component times all of its ids.
+    """
+    n = F.aggregate("cells", F.lit(0), lambda x, y: x + F.size(y))
+    g = F.greatest(F.lit(0), F.ceil(F.log2(n / 1024))).cast("int")
+    room = F.greatest(F.lit(1), F.floor(BLOCK / F.pow(F.lit(2), "g")))
+    rows = store(buckets.select("key", "id", "c").join(cells.select("id", g.alias("g")), "id"), scratch)
+    own = F.col("k") >= room
+    parts = rows.groupBy("key", "g", "c").agg(F.count("*").alias("k")).withColumn("pure", own).withColumn("part", F.when(own, F.col("c")).otherwise(0))
+    parts = store(parts, scratch)
+    sizes = store(parts.groupBy("key", "g", "pure", "part").agg(F.ceil(F.sum("k") / F.first(room)).alias("blocks")), scratch)
+    named = store(parts.join(sizes, ["key", "g", "pure", "part"]).select("key", "g", "c", "pure", "part", "blocks"), scratch)
+    block = lambda j: F.struct("g", "pure", "part", j.cast("int").alias("j")).alias("block")
+    laid = store(rows.join(named, ["key", "g", "c"]).select("key", "id", "c", block(F.pmod(F.xxhash64("id"), F.col("blocks")))), scratch)
+    blocks = store(laid.select("key", "block").distinct(), scratch)
+    x, y = blocks.select("key", F.col("block").alias("x")), blocks.select("key", F.col("block").alias("y"))
+    same = F.col("x.pure") & F.col("y.pure") & (F.col("x.part") == F.col("y.part"))
+    pairs = store(x.join(y, "key").where((F.col("x") <= F.col("y")) & ~same), scratch)
+    sides = pairs.withColumn("at", F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))
+    sides = store(sides.select("key", "x", "y", F.posexplode("at").alias("side", "block")), scratch)
+    met = store(laid.join(sides, ["key", "block"]).select("key", "x", "y", "side", "id", "c"), scratch).join(cells, "id")
+    return met.groupBy("key", "x", "y").applyInArrow(lambda t: _bridge(t, ratio), "a long, b long")
+
+
 def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame | None = None) -> DataFrame:
     """Components of the links among ids that share a bucket; rows (v, component).
 
     one: (id, key), a row for each bucket of an id. sizes (id, w), if given, has rows for all ids: a link needs the smaller
     w at least ratio times the greater.
     prepare(ids) gives, for the ids that share any bucket, verify(pairs), which keeps the links among pairs (a, b), and
-    marks(ids): rows (id, marks), an array of MARKS further independent minima for each kind of bucket (key modulo
-    their number).
+    cells(ids): rows (id, cells), for each kind of shingles an array of the hashes of the different ones (or none). Ids are
+    linked if the Jaccard similarity of the shingles of any kind is at least ratio.
 
-    In each bucket every id is compared with the medoid. Where a bucket then still holds several components, ids of
-    different ones are compared pair by pair if the bucket has at most FEW; a larger one is split by further minima, in
-    TREES ways, and its parts are treated likewise, FEW doubling, until none is left that is both large and mixed. So no
-    step pairs all ids of a bucket of any size, and like ids stay together longer than unlike ones.
+    In each bucket every id is compared with the medoid. Where a bucket then still holds several components, all ids of
+    different ones are compared: pair by pair in buckets of at most FEW, by blocks in larger ones (`_bridged`). So every link
+    inside a bucket is in a component, whatever the bucket's size, and no step pairs ids of a large bucket as rows. Hashes of
+    64 bits propose links in blocks, and verify decides.
     """
     scratch: list = []
     shared = _shared(one, scratch)
     shared = store(shared.join(sizes, "id"), scratch) if sizes is not None else shared.withColumn("w", F.lit(1))
-    verify, marks_of = prepare(store(shared.select("id").distinct(), scratch), scratch)
+    verify, cells_of = prepare(store(shared.select("id").distinct(), scratch), scratch)
     links = store(verify(store(_stars(shared.withColumn("c", F.col("id")), ratio, scratch), scratch)), scratch)
-    marks, buckets = None, shared.select("key", "id", "w", "n", F.lit(0).alias("tree"))
-    for level in range(MARKS // STEP + 1):
-        comp = connected_components(links)
-        named = buckets.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "w", "n", "tree", F.coalesce("component", "id").alias("c"))
-        mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
-        left = store(named.join(mixed, "key"), scratch)
-        if left.isEmpty():
-            break
-        few, many = left.where(F.col("n") <= FEW), store(left.where(F.col("n") > FEW << level), scratch)
-        pairs = _crossed(few, ratio) if level == 0 else None
-        more = not many.isEmpty() and level < MARKS // STEP
-        if more:
-            if marks is None:
-                marks = store(marks_of(store(many.select("id").distinct(), scratch)), scratch)
-            kind = F.pmod(F.col("key"), F.size("marks").cast("long"))
-            tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))) if level == 0 else F.col("tree")
-            at = lambda i: F.get(F.get("marks", kind.cast("int")), F.pmod(F.col("tree") * (MARKS // TREES) + (level * STEP + i), F.lit(MARKS)))
-            parts = many.join(marks, "id").withColumn("tree", tree)
-            key = F.xxhash64("key", "tree", *(at(i) for i in range(STEP)))
-            parts = store(parts.select((key - F.pmod(key, F.size("marks").cast("long")) + kind).alias("key"), "id", "w", "c", "tree"), scratch)
-            buckets = _shared(parts, scratch)
-            limit = FEW << (level + 1)
-            split = _crossed(buckets.where(F.col("n") <= limit), ratio).unionByName(_stars(buckets.where(F.col("n") > limit), ratio, scratch))
-            pairs = split if pairs is None else pairs.unionByName(split)
-        if pairs is None:
-            break
+    comp = connected_components(links)
+    named = shared.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "w", "n", F.coalesce("component", "id").alias("c"))
+    mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
+    left = store(named.join(mixed, "key"), scratch)
+    if not left.isEmpty():
+        pairs, many = _crossed(left.where(F.col("n") <= FEW), ratio), left.where(F.col("n") > FEW)
+        if not many.isEmpty():
+            cells = store(cells_of(store(many.select("id").distinct(), scratch)), scratch)
+            pairs = pairs.unionByName(store(_bridged(many, cells, ratio, scratch), scratch))
         found = store(verify(store(pairs.distinct(), scratch)), scratch)
-        links = links.unionByName(found)
-        if not more:
-            comp = connected_components(links)
-            break
-        buckets = buckets.where(F.col("n") > limit).select("key", "id", "w", "n", "tree")
+        if not found.isEmpty():
+            comp = connected_components(links.unionByName(found))
     drop(scratch)
     return comp

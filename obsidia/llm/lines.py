@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidia.llm.common import MARKS, banded_components, drop, store, table, text_slices, with_both
+from obsidia.llm.common import banded_components, drop, store, table, text_slices, with_both
 
 THRESHOLD = 0.8
 #: Characters of a shingle, for lines of any length and for lines that are both under SHORT characters. A character
@@ -79,11 +79,21 @@ def alike(x: str, y: str, known: dict | None = None) -> bool:
     return False
 
 
-def _minima(lines: list[str], chars: int, n: int, seed: int) -> np.ndarray:
-    """(lines, n) uint32: n minima over the shingles of each normal line, none of which is empty."""
+def _windows(lines: list[str], chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the lines one after the other, each padded to a shingle; which starts of shingles lie inside a line;
+    where the shingles of each line start among those, and how many it has."""
     padded = [s if len(s) >= chars else s.ljust(chars, "\0") for s in lines]
     size = np.array([len(s) for s in padded])
-    h = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
+    inside = np.ones(len(points), dtype=bool)
+    inside[(np.cumsum(size)[:, None] - np.arange(1, chars)).ravel()] = False
+    n = size - chars + 1
+    return points, inside[: len(points) - chars + 1], np.cumsum(n) - n, n
+
+
+def _minima(lines: list[str], chars: int, n: int, seed: int) -> np.ndarray:
+    """(lines, n) uint32: n minima over the shingles of each normal line, none of which is empty."""
+    h, inside, starts, _ = _windows(lines, chars)
     out = np.empty((n, len(lines)), dtype=np.uint32)
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -95,11 +105,7 @@ def _minima(lines: list[str], chars: int, n: int, seed: int) -> np.ndarray:
             h = (h[:-width] * np.uint32(0x85EBCA6B)) ^ h[width:]
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             width *= 2
-        ends = np.cumsum(size)
-        inside = np.ones(len(h) + chars - 1, dtype=bool)
-        inside[(ends[:, None] - np.arange(1, chars)).ravel()] = False
-        h = h[inside[: len(h)]]
-        starts = np.concatenate([[0], np.cumsum(size - chars + 1)[:-1]])
+        h = h[inside]
         buffer = np.empty_like(h)
         for i in range(n):
             np.multiply(h, mult[i], out=buffer)
@@ -171,12 +177,35 @@ def _verify(batches):
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same)], names=["a", "b", "same"])
 
 
-def _marks(batches):
-    for batch in batches:
-        lines = batch.column("line").to_pylist()
-        if lines:
-            both = [_minima(lines, chars, MARKS, 100 + chars).astype(np.int64) for chars in (CHARS, CHARS_SHORT)]
-            yield pa.record_batch([batch.column("id"), pa.array([[x.tolist(), y.tolist()] for x, y in zip(*both)], pa.list_(pa.list_(pa.int64())))], names=["id", "marks"])
+def _hashes(lines: list[str], chars: int) -> list[np.ndarray]:
+    """The different shingles of each normal line, none of which is empty, as numbers of 64 bits."""
+    points, inside, starts, n = _windows(lines, chars)
+    h, width = points.astype(np.uint64), 1
+    with np.errstate(over="ignore"):
+        while width < chars:  # doubling: chars is a power of two
+            h = h * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h[:-width] ^ (h[:-width] >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) + h[width:]
+            width *= 2
+        h = h[inside]
+        h[starts] += np.array([chars - len(s) if len(s) < chars else 0 for s in lines], dtype=np.uint64)  # padded ones are others
+    own = np.repeat(np.arange(len(lines)), n)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))
+    return np.split(h[fresh].view(np.int64), np.searchsorted(own[fresh], np.arange(1, len(lines))))
+
+
+def _shingles(batches):
+    """The shingles of each line: of CHARS, and of CHARS_SHORT for a line under SHORT."""
+    for part in text_slices(batches, "line", limit=1 << 20):
+        lines = part.column("line").to_pylist()
+        short = [s for s in lines if len(s) < SHORT]
+        more = iter(_hashes(short, CHARS_SHORT) if short else [])
+        none = np.empty(0, dtype=np.int64)
+        both = [v for s, x in zip(lines, _hashes(lines, CHARS)) for v in (x, next(more) if len(s) < SHORT else none)]
+        kinds = pa.ListArray.from_arrays(pa.array(np.arange(0, len(both) + 1, 2), pa.int32()), _lists(both))
+        yield pa.record_batch([part.column("id"), kinds], names=["id", "cells"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -203,10 +232,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         def verify(pairs):
             return with_both(pairs, texts, "line").mapInArrow(_verify, "a long, b long, same boolean").where("same").select("a", "b")
 
-        def marks(ids):
-            return texts.join(ids, "id", "left_semi").mapInArrow(_marks, "id long, marks array<array<long>>")
+        def cells(ids):
+            return texts.join(ids, "id", "left_semi").mapInArrow(_shingles, "id long, cells array<array<long>>")
 
-        return verify, marks
+        return verify, cells
 
     comp = banded_components(reps.select("id", F.explode("keys").alias("key")), prepare, THRESHOLD)
     named = store(reps.select("id", "digest", "first", "times").join(comp.withColumnRenamed("v", "id"), "id"), scratch)

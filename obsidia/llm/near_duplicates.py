@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsidia.llm.common import MARKS, banded_components, drop, store, table, text_slices, with_both
+from obsidia.llm.common import banded_components, drop, store, table, text_slices, with_both
 
 WORDS, THRESHOLD = 5, 0.8
 #: 18 bands of 4 coordinates: a pair at the threshold meets in one with probability 0.9999.
@@ -128,14 +128,13 @@ def _verify(batches):
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(same)], names=["a", "b", "same"])
 
 
-def _marks(batches):
-    """MARKS minima of further hashes of the cells of each text."""
-    salt = _mix(np.arange(1, MARKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _shingles(batches):
+    """The hashes of the cells of each text, which has words as it shares a bucket."""
     for part in text_slices(batches, limit=1 << 20):
-        cells, doc, weight = _cells(part.column("text").to_pylist())
-        starts = np.searchsorted(doc, np.arange(len(part)))  # the texts share buckets, so all have words
-        marks = np.stack([np.minimum.reduceat(_mix(cells ^ x), starts).view(np.int64) for x in salt], axis=1)
-        yield pa.record_batch([part.column("id"), pa.array([[m] for m in marks.tolist()], pa.list_(pa.list_(pa.int64())))], names=["id", "marks"])
+        cells, _, weight = _cells(part.column("text").to_pylist())
+        one = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *weight]), pa.int32()), pa.array(cells.view(np.int64)))
+        kinds = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1), pa.int32()), one)
+        yield pa.record_batch([part.column("id"), kinds], names=["id", "cells"])
 
 
 def _texts(docs: DataFrame, scratch: list) -> tuple[DataFrame, DataFrame]:
@@ -154,10 +153,10 @@ def _texts(docs: DataFrame, scratch: list) -> tuple[DataFrame, DataFrame]:
         def verify(pairs):
             return with_both(pairs, texts, "text").mapInArrow(_verify, "a long, b long, same boolean").where("same").select("a", "b")
 
-        def marks(ids):
-            return texts.join(ids, "id", "left_semi").mapInArrow(_marks, "id long, marks array<array<long>>")
+        def cells(ids):
+            return texts.join(ids, "id", "left_semi").mapInArrow(_shingles, "id long, cells array<array<long>>")
 
-        return verify, marks
+        return verify, cells
 
     comp = banded_components(reps.select("id", F.explode("bands").alias("key")), prepare, THRESHOLD, reps.select("id", F.col("n").alias("w")))
     return signed, store(reps.select("id", "digest", "rep").join(comp.withColumnRenamed("v", "id"), "id", "left"), scratch)
@@ -168,8 +167,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Two documents are linked if their texts are equal or their multisets of lower-cased WORDS-word shingles have a
     Jaccard similarity of THRESHOLD or more; classes are the connected components. Equal texts are folded first.
-    In each band's bucket every text is compared with the medoid; what is then still mixed is compared in ever smaller
-    parts (`banded_components`).
+    In each band's bucket every text is compared with the medoid; where that leaves several components, all texts of
+    different ones are (`banded_components`).
     A null text is a class of its own, as is a text without words unless equal texts exist; fewer than WORDS words are
     one shingle. A doc_id stands for one document: repeated rows give one row; a repeated id with different texts gives
     one row with the least of their classes. Rows with a null doc_id come back each with a null class, kept. Other columns are not
