@@ -249,11 +249,11 @@ def _common(p: tuple, q: tuple) -> np.ndarray:
     return out
 
 
-def _bridge(table: pa.Table, ratio: float) -> pa.Table:
-    """Links (a, b) between the components c of two blocks (side 0 and 1, or one block with itself).
+def _bridge(table: pa.Table, ratio: float, every: bool) -> pa.Table:
+    """Links (meet, a, b) between the components c of two blocks (side 0 and 1, or one block with itself).
 
     Ids are linked if the Jaccard similarity of their sets of one kind is at least ratio. All pairs are compared; of the links
-    those are returned that unite components which the ones before leave apart.
+    those are returned that unite components which the ones before leave apart, or every one.
     """
     side, ids, c = (table.column(x).to_numpy() for x in ("side", "id", "c"))
     sets = table.column("cells").combine_chunks()
@@ -269,6 +269,16 @@ def _bridge(table: pa.Table, ratio: float) -> pa.Table:
         like |= (both > 0) & (both >= ratio * (lists[0][1][:, None] + lists[-1][1][None, :] - both))
     i, j = np.nonzero(like & (c[x][:, None] != c[y][None, :]))
     i, j = x[i], y[j]
+    if not every:
+        found = _uniting(c, i, j)
+        i, j = i[found], j[found]
+    a, b = ids[i], ids[j]
+    meet = np.full(len(a), table.column("meet")[0].as_py(), dtype=np.int64)
+    return pa.table({"meet": meet, "a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _uniting(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) unite components c that the ones before leave apart."""
     ends = np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1)
     root, found = _roots(), []
     for at in np.unique(ends, axis=0, return_index=True)[1] if len(ends) else ():
@@ -276,13 +286,11 @@ def _bridge(table: pa.Table, ratio: float) -> pa.Table:
         if v != w:
             root.parent[max(v, w)] = min(v, w)
             found.append(at)
-    found = np.array(found, dtype=np.int64)
-    a, b = ids[i[found]], ids[j[found]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return np.array(found, dtype=np.int64)
 
 
-def _bridged(buckets: DataFrame, cells: DataFrame, ratio: float, scratch: list) -> DataFrame:
-    """Links (a, b) that unite what can be united in buckets of rows (key, id, c), from the sets of cells (id, cells).
+def _meetings(buckets: DataFrame, cells: DataFrame, scratch: list) -> DataFrame:
+    """Rows (meet, side, id, c): the meetings of blocks of the buckets of rows (key, id, c), whose sets are cells (id, cells).
 
     The ids of a bucket are dealt into blocks by hash, those of a component that fills a block into blocks of their own; sets of
     similar numbers of shingles lie together, so that a block has at most about BLOCK << 10 of them. Every block meets every
@@ -303,11 +311,16 @@ def _bridged(buckets: DataFrame, cells: DataFrame, ratio: float, scratch: list)
     blocks = store(laid.select("key", "block").distinct(), scratch)
     x, y = blocks.select("key", F.col("block").alias("x")), blocks.select("key", F.col("block").alias("y"))
     same = F.col("x.pure") & F.col("y.pure") & (F.col("x.part") == F.col("y.part"))
-    pairs = store(x.join(y, "key").where((F.col("x") <= F.col("y")) & ~same), scratch)
+    pairs = x.join(y, "key").where((F.col("x") <= F.col("y")) & ~same)
+    pairs = store(pairs.withColumn("meet", F.monotonically_increasing_id()), scratch)
     sides = pairs.withColumn("at", F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y")))
-    sides = store(sides.select("key", "x", "y", F.posexplode("at").alias("side", "block")), scratch)
-    met = store(laid.join(sides, ["key", "block"]).select("key", "x", "y", "side", "id", "c"), scratch).join(cells, "id")
-    return met.groupBy("key", "x", "y").applyInArrow(lambda t: _bridge(t, ratio), "a long, b long")
+    sides = store(sides.select("key", "meet", F.posexplode("at").alias("side", "block")), scratch)
+    return store(laid.join(sides, ["key", "block"]).select("meet", "side", "id", "c"), scratch)
+
+
+def _bridged(meetings: DataFrame, cells: DataFrame, ratio: float, every: bool = False) -> DataFrame:
+    """Links (meet, a, b) that unite what can be united in each meeting (`_meetings`), or every link of different components."""
+    return meetings.join(cells, "id").groupBy("meet").applyInArrow(lambda t: _bridge(t, ratio, every), "meet long, a long, b long")
 
 
 def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame | None = None) -> DataFrame:
@@ -322,7 +335,8 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
     In each bucket every id is compared with the medoid. Where a bucket then still holds several components, all ids of
     different ones are compared: pair by pair in buckets of at most FEW, by blocks in larger ones (`_bridged`). So every link
     inside a bucket is in a component, whatever the bucket's size, and no step pairs ids of a large bucket as rows. Hashes of
-    64 bits propose links in blocks, and verify decides.
+    64 bits propose links in blocks, and verify decides. Two blocks propose only what unites components; where verify refuses
+    one of these, another may have been left out for it, and all links of the two blocks are proposed instead.
     """
     scratch: list = []
     shared = _shared(one, scratch)
@@ -334,11 +348,18 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
     mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
     left = store(named.join(mixed, "key"), scratch)
     if not left.isEmpty():
-        pairs, many = _crossed(left.where(F.col("n") <= FEW), ratio), left.where(F.col("n") > FEW)
+        pairs, many, proposed = _crossed(left.where(F.col("n") <= FEW), ratio), left.where(F.col("n") > FEW), None
         if not many.isEmpty():
             cells = store(cells_of(store(many.select("id").distinct(), scratch)), scratch)
-            pairs = pairs.unionByName(store(_bridged(many, cells, ratio, scratch), scratch))
+            meetings = _meetings(many, cells, scratch)
+            proposed = store(_bridged(meetings, cells, ratio), scratch)
+            pairs = pairs.unionByName(proposed.select("a", "b"))
         found = store(verify(store(pairs.distinct(), scratch)), scratch)
+        if proposed is not None:
+            refused = store(proposed.join(found, ["a", "b"], "left_anti").select("meet").distinct(), scratch)
+            if not refused.isEmpty():
+                again = _bridged(meetings.join(refused, "meet", "left_semi"), cells, ratio, every=True)
+                found = found.unionByName(store(verify(store(again.select("a", "b").distinct(), scratch)), scratch))
         if not found.isEmpty():
             comp = connected_components(links.unionByName(found))
     drop(scratch)
