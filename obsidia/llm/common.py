@@ -356,9 +356,9 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
             pairs = pairs.unionByName(proposed.select("a", "b"))
         found = store(verify(store(pairs.distinct(), scratch)), scratch)
         if proposed is not None:
-            refused = store(proposed.join(found, ["a", "b"], "left_anti").select("meet").distinct(), scratch)
+            refused = proposed.join(found, ["a", "b"], "left_anti").select("meet")
             if not refused.isEmpty():
-                again = _bridged(meetings.join(refused, "meet", "left_semi"), cells, ratio, every=True)
+                again = _bridged(meetings.join(store(refused.distinct(), scratch), "meet", "left_semi"), cells, ratio, every=True)
                 found = found.unionByName(store(verify(store(again.select("a", "b").distinct(), scratch)), scratch))
         if not found.isEmpty():
             comp = connected_components(links.unionByName(found))
