@@ -181,28 +181,26 @@ def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _shared(buckets: DataFrame, scratch: list) -> DataFrame:
-    """The rows (key, id, ...) of buckets of n > 1 ids, with n."""
+def _shared(buckets: DataFrame, scratch: list) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, key): the pairs (a, b) that are buckets of two, and the rows (key, id, n) of buckets of n > 2 ids."""
     heads = store(buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), scratch)
-    if buckets.columns != ["id", "key"]:
-        return store(buckets.join(heads.select("key", "n"), "key"), scratch)
     # a bucket of two is known from its ends
-    two = heads.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("id"), "key", "n")
+    two = store(heads.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), scratch)
     # the rows of all buckets need no sorting to meet the few that are left
     rest = hinted(store(heads.where("n > 2").select("key", "n"), scratch), 24, "shuffle_hash")
-    return store(two.unionByName(buckets.join(rest, "key")), scratch)
+    return two, store(buckets.join(rest, "key").select("key", "id", "n"), scratch)
 
 
 def _stars(buckets: DataFrame, ratio: float, scratch: list) -> DataFrame:
-    """Pairs (a, b) of each bucket's medoid and its other ids, from rows (key, id, w, n, c).
+    """Pairs (a, b) of each bucket's medoid and its other ids, from rows (key, id, w, n).
 
     The medoid is the id whose buckets are the largest taken together: that of the text which most others are near to.
     """
     scored = store(buckets.withColumn("score", F.sum("n").over(W.partitionBy("id"))), scratch)
-    best = F.max(F.struct("score", (-F.col("id")).alias("minus"), "w", "c")).alias("m")
-    hubs = store(scored.groupBy("key").agg(best).select("key", (-F.col("m.minus")).alias("hub"), F.col("m.w").alias("hub_w"), F.col("m.c").alias("hub_c")), scratch)
-    rows = scored.join(hubs, "key").where((F.col("c") != F.col("hub_c")) & (F.least("w", "hub_w") >= ratio * F.greatest("w", "hub_w")))
-    return rows.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    best = F.max(F.struct("score", (-F.col("id")).alias("minus"), "w")).alias("m")
+    hubs = store(scored.groupBy("key").agg(best).select("key", (-F.col("m.minus")).alias("hub"), F.col("m.w").alias("hub_w")), scratch)
+    rows = scored.join(hubs, "key").where((F.col("id") != F.col("hub")) & (F.least("w", "hub_w") >= ratio * F.greatest("w", "hub_w")))
+    return rows.select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _crossed(buckets: DataFrame, ratio: float) -> DataFrame:
@@ -215,20 +213,22 @@ def _crossed(buckets: DataFrame, ratio: float) -> DataFrame:
 
 def _common(p: tuple, q: tuple) -> np.ndarray:
     """How many numbers each list of p shares with each of q. Both are (numbers, lengths); a list holds a number once."""
+    shape = len(p[1]), len(q[1])
+    rows = [np.repeat(np.arange(len(lengths)), lengths) for _, lengths in ((p,) if p is q else (p, q))]
+    values = p[0] if p is q else np.concatenate([p[0], q[0]])
+    order = np.argsort(values)  # one sorting numbers the values of both sides
+    values = values[order]
+    col = np.cumsum(np.append(0, values[1:] != values[:-1])) if len(values) else values
     if p is q:
-        known, often = np.unique(p[0], return_counts=True)
-        known = known[often > 1]
+        sides = [(rows[0][order], col)] * 2
     else:
-        known = np.intersect1d(p[0], q[0])
-    shape = len(p[1]), len(q[1])
-    sides, often = [], []
-    for values, lengths in (p, q):
-        col = np.searchsorted(known, values)
-        at = np.flatnonzero(np.append(known, 0)[col] == values) if len(known) else np.empty(0, dtype=np.int64)
-        at = at[np.argsort(col[at], kind="stable")]
-        at = at[col[at] < len(known)]
-        sides.append((np.repeat(np.arange(len(lengths)), lengths)[at], col[at]))
-        often.append(np.bincount(col[at], minlength=len(known)))
+        first = order < len(p[0])
+        sides = [(rows[0][order[first]], col[first]), (rows[1][order[~first] - len(p[0])], col[~first])]
+    often = [np.bincount(col, minlength=len(values)) for _, col in sides]
+    met = often[0] > 1 if p is q else (often[0] > 0) & (often[1] > 0)
+    place = np.cumsum(met) - 1
+    sides = [(row[keep], place[col[keep]]) for row, col in sides for keep in [met[col]]]
+    often = [n[met] for n in often]
     rare = often[0] * often[1] <= RARE
     (row, col), (other, _) = sides
     begin = np.cumsum(often[1]) - often[1]
@@ -239,11 +239,12 @@ def _common(p: tuple, q: tuple) -> np.ndarray:
     out = np.bincount(cell, minlength=shape[0] * shape[1]).astype(np.float32).reshape(shape)
     place = np.cumsum(~rare) - 1
     sides = [(row[keep], place[col[keep]]) for row, col in sides for keep in [~rare[col]]]
-    for lo in range(0, int((~rare).sum()), STRIP):
+    left = int((~rare).sum())
+    for lo in range(0, left, STRIP):
         dense = []
         for (row, col), n in zip(sides, shape):
             i, j = np.searchsorted(col, [lo, lo + STRIP])
-            dense.append(np.zeros((n, STRIP), dtype=np.float32))
+            dense.append(np.zeros((n, min(STRIP, left - lo)), dtype=np.float32))
             dense[-1][row[i:j], col[i:j] - lo] = 1
         out += dense[0] @ dense[1].T
     return out
@@ -333,16 +334,25 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
     linked if the Jaccard similarity of the shingles of any kind is at least ratio.
 
     In each bucket every id is compared with the medoid. Where a bucket then still holds several components, all ids of
-    different ones are compared: pair by pair in buckets of at most FEW, by blocks in larger ones (`_bridged`). So every link
+    different ones are compared: pair by pair in buckets of at most FEW, by blocks in larger ones (`_bridged`). Pairs that
+    were verified with the medoid, as all in buckets of two, are not verified again. So every link
     inside a bucket is in a component, whatever the bucket's size, and no step pairs ids of a large bucket as rows. Hashes of
     64 bits propose links in blocks, and verify decides. Two blocks propose only what unites components; where verify refuses
     one of these, another may have been left out for it, and all links of the two blocks are proposed instead.
     """
     scratch: list = []
-    shared = _shared(one, scratch)
-    shared = store(shared.join(sizes, "id"), scratch) if sizes is not None else shared.withColumn("w", F.lit(1))
-    verify, cells_of = prepare(store(shared.select("id").distinct(), scratch), scratch)
-    links = store(verify(store(_stars(shared.withColumn("c", F.col("id")), ratio, scratch), scratch)), scratch)
+    two, shared = _shared(one, scratch)
+    if sizes is None:
+        shared = shared.withColumn("w", F.lit(1))
+    else:
+        shared = store(shared.join(sizes, "id"), scratch)
+        for side in ("a", "b"):
+            two = two.join(sizes.select(F.col("id").alias(side), F.col("w").alias(f"w_{side}")), side)
+        two = store(two.where(F.least("w_a", "w_b") >= ratio * F.greatest("w_a", "w_b")).select("a", "b"), scratch)
+    ids = shared.select("id").unionByName(two.select(F.explode(F.array("a", "b")).alias("id")))
+    verify, cells_of = prepare(store(ids.distinct(), scratch), scratch)
+    tested = store(two.unionByName(_stars(shared, ratio, scratch)).distinct(), scratch)
+    links = store(verify(tested), scratch)
     comp = connected_components(links)
     named = shared.join(comp.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "w", "n", F.coalesce("component", "id").alias("c"))
     mixed = store(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), scratch)
@@ -354,12 +364,15 @@ def banded_components(one: DataFrame, prepare, ratio: float, sizes: DataFrame |
             meetings = _meetings(many, cells, scratch)
             proposed = store(_bridged(meetings, cells, ratio), scratch)
             pairs = pairs.unionByName(proposed.select("a", "b"))
-        found = store(verify(store(pairs.distinct(), scratch)), scratch)
+        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = store(pairs.distinct().join(known, ["a", "b"], "left_anti"), scratch)
+        found = store(verify(pairs), scratch)
         if proposed is not None:
             refused = proposed.join(found, ["a", "b"], "left_anti").select("meet")
             if not refused.isEmpty():
                 again = _bridged(meetings.join(store(refused.distinct(), scratch), "meet", "left_semi"), cells, ratio, every=True)
-                found = found.unionByName(store(verify(store(again.select("a", "b").distinct(), scratch)), scratch))
+                more = again.select("a", "b").distinct().join(known.unionByName(pairs), ["a", "b"], "left_anti")
+                found = found.unionByName(store(verify(store(more, scratch)), scratch))
         if not found.isEmpty():
             comp = connected_components(links.unionByName(found))
     drop(scratch)

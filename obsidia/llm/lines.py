@@ -17,6 +17,8 @@ CHARS, CHARS_SHORT, SHORT = 8, 4, 100
 #: shingle size -> bands and minima of a band. Pairs at the threshold share one of 8 bands of 4 minima with probability
 #: 0.985, one of 12 bands of 5 with 0.991; short shingles need longer bands, as unlike lines share more of them.
 BANDS = {CHARS: (8, 4), CHARS_SHORT: (12, 5)}
+#: Minima are taken of so many characters at a time, which stay in a core's cache.
+CACHED = 48 << 10
 #: White space, by Python's definition, other than the space and \n; there is none beyond U+3000.
 WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 LINES = "doc_id long, doc_hash long, line_no int, digest binary"
@@ -51,8 +53,11 @@ def _numbers(line: str, chars: int) -> np.ndarray | None:
         raw = line.encode("latin-1")
     except UnicodeEncodeError:
         return None
-    found = np.sort(np.ndarray(len(raw) - chars + 1, dtype=f"<u{chars}", buffer=raw, strides=(1,)))
-    return found[np.append(True, found[1:] != found[:-1])]
+    found = np.ndarray(len(raw) - chars + 1, dtype=f"<u{chars}", buffer=raw, strides=(1,)).copy()
+    found.sort()
+    fresh = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=fresh[1:])
+    return found[fresh]
 
 
 def alike(x: str, y: str, known: dict | None = None) -> bool:
@@ -72,7 +77,8 @@ def alike(x: str, y: str, known: dict | None = None) -> bool:
             p, q = of_x(shingle_set, chars), shingle_set(y, chars)
             both = len(p & q)
         else:
-            all_of = np.sort(np.concatenate([p, q]))
+            all_of = np.concatenate((p, q))
+            all_of.sort()
             both = int(np.count_nonzero(all_of[1:] == all_of[:-1]))
         if both >= THRESHOLD * (len(p) + len(q) - both):
             return True
@@ -117,7 +123,10 @@ def _minima(lines: list[str], chars: int, n: int, seed: int) -> np.ndarray:
 def _keys(lines: list[str], chars: int) -> np.ndarray:
     """(lines, bands) int64 bucket keys, even for CHARS and odd for CHARS_SHORT."""
     bands, rows = BANDS[chars]
-    least = _minima(lines, chars, bands * rows, chars).reshape(len(lines), bands, rows).astype(np.uint64)
+    part = np.cumsum([len(s) for s in lines]) // CACHED
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(lines)]
+    least = [_minima(lines[i:j], chars, bands * rows, chars) for i, j in zip(cuts, cuts[1:])]
+    least = np.concatenate(least).reshape(len(lines), bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(lines), bands))
     with np.errstate(over="ignore"):
         for r in range(rows):
@@ -250,35 +259,33 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return removed
 
 
-def _kept(text, removed) -> F.Column:
-    """Lines kept: those whose numbers are not removed, which stay in order."""
-    lines = F.split(text, "\n", -1)
-    return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(removed, F.array().cast("array<int>")))
-
-
 def _cut_lines(docs: DataFrame) -> DataFrame:
-    """docs (all columns in `row`) with lines (array), kept (numbers)."""
+    """docs (all columns in `row`) with removed (numbers of lines, or null) and text, what is left of it: only texts that lose
+    lines are cut into lines."""
     removed = repeated_lines(docs)
     left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     same = (F.col("row.doc_id") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("doc_hash"))
     joined = left.join(removed.hint("shuffle_hash"), same, "left")  # texts need no sorting
-    return joined.select("row", F.split("row.text", "\n", -1).alias("lines"), _kept(F.col("row.text"), F.col("removed")).alias("kept"))
+    some = F.col("removed").isNotNull()
+    joined = joined.select("row", "removed", F.when(some, F.split("row.text", "\n", -1)).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")  # in order
+    text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    return joined.select("row", "removed", F.when(some, text).otherwise(F.col("row.text")).alias("text"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs, all columns, each text without its repeated lines; n_chars, if there, follows. Null texts stay null, and a
     document whose every line goes keeps an empty text."""
-    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return _cut_lines(docs).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined), kept_sha256 of the text that is left, per row."""
     rows = _cut_lines(docs.select("doc_id", "text"))
-    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    gone = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "kept")
-    return rows.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone.cast("array<string>"), ","), F.lit("")).alias("removed"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("kept_sha256"))
+    whole = F.col("row.text")
+    n_lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    return rows.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_line_dedup(spark, sf_dir):
